@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing
+from . import chat, decontaminate, mixing, packing, secrets, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,6 +14,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op5_mixing": mixing.op5_mixing,
+        "op6_chat": chat.op6_chat,
+        "op7_packing": packing.op7_packing,
+        "op8_secrets": secrets.op8_secrets,
+        "op9_urls": urls.op9_urls,
         "op10_decontaminate": decontaminate.op10_decontaminate,
     }
 
@@ -21,5 +25,8 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op5_mixing": mixing.OP5_SQL,
+        "op6_chat": chat.OP6_SQL,
+        "op8_secrets": secrets.OP8_SQL,
+        "op9_urls": urls.OP9_SQL,
         "op10_decontaminate": decontaminate.OP10_SQL,
     }
