@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, mixing, near, packing, quality, secrets, urls
+from . import chat, decontaminate, mixing, near, packing, quality, repeats, secrets, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_quality": quality.op1_quality,
         "op2_near_dedup": near.op2_near_dedup,
+        "op3_repeats": repeats.op3_repeats,
         "op5_mixing": mixing.op5_mixing,
         "op6_chat": chat.op6_chat,
         "op7_packing": packing.op7_packing,
@@ -27,6 +28,7 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_near_dedup": near.OP2_SQL,
+        "op3_repeats": repeats.OP3_SQL,
         "op5_mixing": mixing.OP5_SQL,
         "op6_chat": chat.OP6_SQL,
         "op8_secrets": secrets.OP8_SQL,
