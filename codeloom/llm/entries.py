@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, mixing, near, packing, quality, repeats, secrets, urls
+from . import chat, decontaminate, mixing, near, packing, pii, quality, repeats, secrets, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,7 @@ def queries() -> dict[str, Query]:
         "op1_quality": quality.op1_quality,
         "op2_near_dedup": near.op2_near_dedup,
         "op3_repeats": repeats.op3_repeats,
+        "op4_pii": pii.op4_pii,
         "op5_mixing": mixing.op5_mixing,
         "op6_chat": chat.op6_chat,
         "op7_packing": packing.op7_packing,
