@@ -104,6 +104,19 @@ class _Parser:
         return ("set", frozenset(range(256)) - found if negated else frozenset(found))
 
 
+def shortest(tree):
+    """A tree whose matches end where a shortest match of the given one does: all that a search must see."""
+    if tree[0] == "cat" and tree[1]:
+        *before, last = tree[1]
+        last = shortest(last)
+        return shortest(("cat", before)) if last == ("cat", []) else ("cat", [*before, last])
+    if tree[0] == "alt":
+        return ("alt", [shortest(x) for x in tree[1]])
+    if tree[0] == "rep":
+        return ("cat", [tree[1]] * (tree[2] - 1) + [shortest(tree[1])]) if tree[2] else ("cat", [])
+    return tree
+
+
 class _States:
     """A nondeterministic automaton: free moves, and moves by sets of bytes."""
 
@@ -211,7 +224,8 @@ def compile_rules(patterns: list[tuple[str, bool]], *, search: bool) -> Automato
     for i, (pattern, either) in enumerate(patterns):
         first = states.new()
         states.free[root].append(first)
-        ends[states.add(_Parser(pattern, either).whole(), first)] = 1 << i
+        tree = _Parser(pattern, either).whole()
+        ends[states.add(shortest(tree) if search else tree, first)] = 1 << i
     kinds = {frozenset(x) for moves in states.moves for x, _ in moves}
     member = np.array([[b in k for k in kinds] for b in range(256)])
     _, sample, byte_class = np.unique(member, axis=0, return_index=True, return_inverse=True)

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
+
 from . import chat, decontaminate, mixing, near, packing, pii, quality, repeats, secrets, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +25,7 @@ def queries() -> dict[str, Query]:
         "op8_secrets": secrets.op8_secrets,
         "op9_urls": urls.op9_urls,
         "op10_decontaminate": decontaminate.op10_decontaminate,
+        "pipeline": corpus_pipeline.run,
     }
 
 

@@ -100,12 +100,12 @@ def level_sql(k: int) -> str:
 
 
 def mix(docs: DataFrame, *, text: str = "text", source: str = "source", key: str = "doc_id", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """`docs` with mix_size, mix_source_size, mix_target and mix_taken (words the mix takes; a whole multiple of mix_size)."""
+    """`docs` with mix_size, mix_source_size, mix_target, mix_times (how often the mix takes it) and mix_taken (words it takes)."""
     narrow = docs.select(F.col(source).cast("string").alias("source"), n_words(F.col(text)).alias("size"), digest(F.col(key), F.col(text)).alias("digest"))
     sized = written(narrow, "mix-sizes")
     goals = written(targets(sized.groupBy("source").agg(F.sum("size").alias("mix_source_size")), weights, share, most), "mix-targets")
     cut = goals.join(thresholds(sized, goals).withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s").select(F.col("source").alias("mix_s"), "mix_source_size", "mix_target", *[f"b{i}" for i in range(LEVELS)])
-    own = {"mix_size", "mix_source_size", "mix_target", "mix_taken"}
+    own = {"mix_size", "mix_source_size", "mix_target", "mix_times", "mix_taken"}
     kept = [c for c in docs.columns if c not in own]
     rows = docs.select(F.struct(*kept).alias("row"), F.col(source).cast("string").alias("mix_key"), n_words(F.col(text)).alias("mix_size"), digest(F.col(key), F.col(text)).alias("digest"))
     under = F.lit(False)
@@ -113,7 +113,8 @@ def mix(docs: DataFrame, *, text: str = "text", source: str = "source", key: str
         under = (level(F.col("digest"), k) < F.col(f"b{k}")) | ((level(F.col("digest"), k) == F.col(f"b{k}")) & under)
     times = F.when(F.col("mix_target") >= F.col("mix_source_size"), 1).otherwise(0) + F.when(under, 1).otherwise(0)
     joined = rows.join(cut, F.col("mix_key").eqNullSafe(F.col("mix_s")), "left")
-    return joined.withColumn("mix_taken", F.col("mix_size") * F.least(times, F.lit(int(most)))).select("row.*", "mix_size", "mix_source_size", "mix_target", "mix_taken")
+    joined = joined.withColumn("mix_times", F.least(times, F.lit(int(most))))
+    return joined.select("row.*", "mix_size", "mix_source_size", "mix_target", "mix_times", (F.col("mix_size") * F.col("mix_times")).alias("mix_taken"))
 
 
 def digest(key: Column, text: Column) -> Column:
