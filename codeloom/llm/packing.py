@@ -20,6 +20,7 @@ first; repeated ids are in a fixed order by text. An empty table has no rows.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import zlib
@@ -37,8 +38,12 @@ from .words import pieces, utf8
 MAGIC, HEADER = b"CLB1", struct.Struct("<4sB3xIIQ")
 BLOCK_IDS, CHUNK_IDS = 1024, 1 << 19
 END_ID = 2
-#: Words whose ids a worker keeps, and the longest of them in bytes.
-KEEP_WORDS, KEEP_BYTES = 300_000, 64
+#: Words whose ids a worker keeps, at most twice as many, and the longest of them in bytes.
+KEEP_WORDS, KEEP_BYTES = 250_000, 48
+#: Normalizers, and pre-tokenizers with their patterns, for which Encoder may go by words.
+BUILD = (["NFC", "Replace", "Lowercase"], [("Split", r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"), ("ByteLevel", None)])
+#: Marks that are a piece of their own after a letter or digit.
+MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def bits_for(vocabulary: int) -> int:
@@ -107,31 +112,97 @@ class Chunk:
         return self.ids(int(self.starts[i]), int(self.starts[i + 1]))
 
 
+class Recent:
+    """Values of recently used keys: what is asked for moves to the new half, and the old half goes when the new one is full."""
+
+    def __init__(self, half: int):
+        self.half, self.new, self.old = half, {}, {}
+
+    def take(self, keys: set[bytes]) -> tuple[dict[bytes, bytes], list[bytes]]:
+        """What is known of the keys, and those that aren't known."""
+        found = {k: self.new[k] for k in keys & self.new.keys()}
+        for k in keys - found.keys():
+            if (x := self.old.get(k)) is not None:
+                found[k] = self.new[k] = x
+        return found, [k for k in keys if k not in found]
+
+    def keep(self, values: dict[bytes, bytes]) -> None:
+        self.new.update((k, x) for k, x in values.items() if len(k) <= KEEP_BYTES)
+        if len(self.new) > self.half:
+            self.old, self.new = self.new, {}
+
+
 class Encoder:
     """Whole texts by way of their words.
 
     The tokenizer drops white space and none of its pieces crosses it, so that
-    a text's ids are those of its words in order; ids of frequent words are kept.
+    a text's ids are those of its words in order. An ASCII word is lower case
+    for it, and marks at its end are a piece of their own (an apostrophe may not
+    be, nor may the names of special tokens); so stems and marks are looked up
+    apart where the word is new, and a stem of letters below U+0100 goes straight
+    to the library's BPE model. Ids of recent words and stems are kept. All this
+    holds for tokenizers of this build only (checked from the file); any other one
+    encodes whole texts.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        self.tokenizer, self.words, self.parts = Tokenizer.from_file(path), Recent(KEEP_WORDS), Recent(KEEP_WORDS)
+        with open(path, encoding="utf-8") as file:
+            build = json.load(file)
+        self.by_words = [x["type"] for x in (build["normalizer"] or {}).get("normalizers", [])] == BUILD[0] and [(x["type"], x.get("pattern", {}).get("Regex")) for x in (build["pre_tokenizer"] or {}).get("pretokenizers", [])] == BUILD[1]
+        level = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {i: level.pre_tokenize_str(chr(i))[0][0] for i in range(256) if chr(i).isalpha() and chr(i) == chr(i).lower()}
+        self.model = self.tokenizer.model
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
+        if not self.by_words:
+            return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch([t.decode() for t in texts], add_special_tokens=False)]
         split = [t.split() for t in texts]
-        words = set().union(*split)
-        new = [w for w in words if w not in self.known]
-        made = self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False) if new else []
-        fresh = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(new, made, strict=True)}
-        ids = {w: fresh[w] if w in fresh else self.known[w] for w in words}
-        if len(self.known) > KEEP_WORDS:
-            self.known.clear()
-        self.known.update((w, x) for w, x in fresh.items() if len(w) <= KEEP_BYTES)
-        return [b"".join(map(ids.__getitem__, x)) for x in split]
+        known, new = self.words.take(set().union(*split))
+        cut = {w: self.cut(w) for w in new}
+        parts, missing = self.parts.take({p for pair in cut.values() for p in pair if p})
+        fresh = self.library(missing)
+        self.parts.keep(fresh)
+        parts |= fresh
+        parts[b""] = b""
+        made = {w: parts[stem] + parts[marks] for w, (stem, marks) in cut.items()}
+        self.words.keep(made)
+        known |= made
+        return [b"".join(map(known.__getitem__, x)) for x in split]
+
+    @staticmethod
+    def cut(word: bytes) -> tuple[bytes, bytes]:
+        stem = word.rstrip(MARKS)
+        if b"<|" in word:
+            return word, b""
+        if stem.isascii():
+            return (stem.lower(), word[len(stem) :]) if stem[-1:].isalnum() else (word, b"")
+        text = stem.decode()
+        return (text.lower().encode(), word[len(stem) :]) if text.isalpha() and max(text) < "\u0100" else (word, b"")
+
+    def library(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Each word's ids, by one call for many."""
+        out, rest = {}, []
+        for w in words:
+            text = w.decode()
+            if text.isalpha() and max(text) < "\u0100" and text == text.lower():
+                out[w] = np.array([t.id for t in self.model.tokenize(text.translate(self.letters))], "<u4").tobytes()
+            else:
+                rest.append(w)
+        for i in range(0, len(rest), 4096):
+            some = rest[i : i + 4096]
+            made = self.tokenizer.encode([w.decode() for w in some], is_pretokenized=True, add_special_tokens=False)
+            ids, of = np.array(made.ids, "<u4"), np.array(made.word_ids, np.int64)
+            at = np.searchsorted(of, np.arange(len(some) + 1))
+            raw = ids.tobytes()
+            out.update((w, raw[4 * x : 4 * y]) for w, x, y in zip(some, at[:-1].tolist(), at[1:].tolist(), strict=True))
+        return out
 
 
 _encoders: dict[str, Encoder] = {}
@@ -155,7 +226,7 @@ def _writer(path: str, end_id: int):
 
         for batch in batches:
             texts, keys = utf8(batch.column(1)), batch.column(0).to_pylist()
-            for a, b in pieces(texts):
+            for a, b in pieces(texts, 1 << 22):
                 for key, ids in zip(keys[a:b], encoder.encode([t or b"" for t in texts[a:b]]), strict=True):
                     doc_ids.append(key)
                     held.append(ids + end)
