@@ -9,8 +9,11 @@
 3. Verified links are grouped: union-find inside tasks, then alternating star
    contractions between them, until nothing changes.
 4. Nodes that share a bucket but are in different groups so far are the only
-   pairs left that could still link groups. Signatures drop those that are
-   clearly apart; the rest is verified in full, and grouping runs again.
+   pairs left that could still link groups. For these nodes alone shingles are
+   counted: what a node has for itself bounds its similarity with any other. One
+   that has too much of it has no link at all; the one with least of it leads its
+   bucket in a second round. Pairs that the bound still allows are compared by
+   signature, verified in full if near, and grouped again.
 
 SuperMinHash (Ertl 2017): instead of independent hash functions, every element
 walks one random permutation of the signature's places; its j-th place gets
@@ -45,7 +48,7 @@ BANDS = PLACES // ROWS
 PERCENT = 80
 #: Of PLACES, equal places below which a pair is not verified: over 4.8 standard deviations under 80 %.
 LEAST_EQUAL = 58
-STAR_ROUNDS = 2
+STAR_ROUNDS = 1
 FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 BLANK = np.uint32(0xFFFFFFFF)
 
@@ -242,13 +245,25 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
         pairs = members.join(leader, "key").filter("node != leader").select(F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b")).distinct()
         checked = _more(checked, _checked(pairs, texts, checked))
     groups = components(_links(checked))
-    # what shares a bucket with another group
-    grouped = members.join(groups, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-    sizes = grouped.groupBy("key", "comp").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("key").agg(F.count("*").alias("k"), F.max_by("comp", F.struct("n", "comp")).alias("main")).filter("k > 1").select("key", "main")
-    mixed = written(grouped.join(mixed, "key"), "mixed")
-    minor = mixed.filter("comp != main").select("key", F.col("node").alias("x"), F.col("comp").alias("x_comp"))
-    pairs = minor.join(mixed.select("key", "node", "comp"), "key").filter("comp != x_comp").select(F.greatest("x", "node").alias("a"), F.least("x", "node").alias("b")).distinct()
+    # what shares a bucket with another group, with the number of shingles that no other such node has
+    mixed = _mixed(members, groups)
+    rare = _own_shingles(texts.join(mixed.select("node").distinct(), "node", "left_semi"))
+    mixed = written(mixed.join(rare, "node").filter(F.lit(PERCENT) * F.col("n") <= 100 * (F.col("n") - F.col("own"))), "mixed")
+    # in a family of variants the one that differs least is linked with all that have a link
+    leader = mixed.groupBy("key").agg(F.min_by("node", F.struct("own", "node")).alias("leader"), F.min_by("comp", F.struct("own", "node")).alias("leader_comp"))
+    pairs = mixed.join(leader, "key").filter("comp != leader_comp").select(F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b")).distinct()
+    checked = _more(checked, _checked(pairs, texts, checked))
+    groups = components(_links(checked))
+    # all pairs that could still link two groups: neither's own shingles may rule the link out
+    mixed = written(_mixed(mixed.select("key", "node", "n", "own"), groups), "mixed")
+    mixed = mixed.join(nodes.select("node", "bands"), "node")
+    x = mixed.filter("comp != main").select(*[F.col(c).alias(f"x_{c}") for c in ("key", "node", "comp", "n", "own", "bands")])
+    most = F.least(F.col("n") - F.col("own"), F.col("x_n") - F.col("x_own"))
+    apart = (F.col("comp") != F.col("x_comp")) & ((F.col("comp") == F.col("main")) | (F.col("x_node") < F.col("node")))
+    # a pair counts in the first bucket that it shares
+    here = F.array_min(F.array_intersect("bands", "x_bands")) == F.col("key")
+    open_ = (F.col("x_key") == F.col("key")) & apart & (100 * most >= PERCENT * (F.col("n") + F.col("x_n") - most)) & here
+    pairs = x.join(mixed, open_).select(F.greatest("x_node", "node").alias("a"), F.least("x_node", "node").alias("b")).distinct()
     marks = nodes.select("node", "signature")
     pairs = pairs.join(marks.select(F.col("node").alias("a"), F.col("signature").alias("sa")), "a").join(marks.select(F.col("node").alias("b"), F.col("signature").alias("sb")), "b")
     near = pairs.mapInArrow(_alike, "a binary, b binary")
@@ -262,6 +277,30 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
     return out.select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.col("node").alias("near_node")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def _mixed(members: DataFrame, groups: DataFrame) -> DataFrame:
+    """Members of buckets that hold more than one group, with their group (comp) and the bucket's largest (main)."""
+    grouped = members.join(groups, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    sizes = grouped.groupBy("key", "comp").agg(F.count("*").alias("k"))
+    main = sizes.groupBy("key").agg(F.count("*").alias("groups"), F.max_by("comp", F.struct("k", "comp")).alias("main")).filter("groups > 1").select("key", "main")
+    return grouped.join(main, "key")
+
+
+def _own_shingles(texts: DataFrame) -> DataFrame:
+    """(node, n, own): distinct shingles, and how many of them no other of these texts has."""
+    spread = texts.mapInArrow(_spread, "node binary, shingle long")
+    alone = spread.groupBy("shingle").agg(F.count("*").alias("k"), F.min("node").alias("node")).filter("k = 1").groupBy("node").agg(F.count("*").alias("own"))
+    sizes = spread.groupBy("node").agg(F.count("*").alias("n"))
+    return sizes.join(alone, "node", "left").select("node", "n", F.coalesce("own", F.lit(0)).alias("own"))
+
+
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        nodes, texts = batch.column(0), utf8(batch.column(1))
+        for a, b in pieces(texts):
+            values, owner = shingles(Words(texts[a:b], NOT_SPACE, FOLD))
+            yield pa.RecordBatch.from_arrays([nodes.take(pa.array(owner + a)), pa.array(values.astype(np.int64))], ["node", "shingle"])
+
+
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
