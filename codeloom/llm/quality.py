@@ -8,8 +8,9 @@ modified Kneser-Ney smoothing.
 2. DataFrame operations derive continuation counts of the lower orders, the
    counts of counts and with them the three discounts of each order, each
    context's total, and the interpolated probabilities.
-3. An n-gram stays in the model if its relative frequency in its language is at
-   least languages / 2**LOG2_SIZE; what others had goes to their context's back-off weight, so
+3. An n-gram stays in the model if it occurs twice (else a text would be its own
+   proof) and its relative frequency in its language is at least
+   languages / 2**LOG2_SIZE; what others had goes to their context's back-off weight, so
    that each context still sums to one. The rule is the same at every corpus
    size, and bounds the model: at most 2**LOG2_SIZE n-grams an order.
 4. The model is broadcast as sorted arrays of 64-bit hashes, with a directory by
@@ -45,7 +46,7 @@ from .shared import table, written
 from .words import NOT_SPACE, U64, Windows, Words, mix, pieces, utf8
 
 ORDER = 5
-LOG2_SIZE = 20
+LOG2_SIZE, LEAST = 18, 2
 REACH, SHORT = 6.0, 4.0
 #: Stands for all languages together.
 EVERY = "\0every"
@@ -111,44 +112,55 @@ def count(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     return docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")).mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def model_table(counts: DataFrame, log2_size: int = LOG2_SIZE) -> DataFrame:
-    """(lang, m, gram, logp, bow) of all n-grams in the model, orders 1 to ORDER; logarithms to base 2."""
+def model_table(counts: DataFrame, log2_size: int = LOG2_SIZE, least: int = LEAST) -> DataFrame:
+    """(lang, m, gram, logp, bow) of all n-grams and contexts in the model, orders 0 to ORDER; logarithms to base 2, logp NaN for a mere context."""
     named = counts.select(F.coalesce("lang", F.lit("")).alias("lang"), "gram", "n")
-    counts = named.unionByName(named.withColumn("lang", F.lit(EVERY)))
-    langs = counts.groupBy("lang").agg(F.sum("n").alias("all"))
-    langs = langs.withColumn("least", F.col("all") * langs.select(F.count("*").alias("c")).scalar() / F.lit(float(1 << log2_size))).drop("all")
+    named = named.unionByName(named.withColumn("lang", F.lit(EVERY)))
     # c: what the order's probabilities come from; r: how often it occurs
-    top = counts.groupBy("lang", "gram").agg(F.sum("n").alias("c")).withColumn("r", F.col("c"))
-    orders = {ORDER: top}
+    now = written(named.groupBy("lang", "gram").agg(F.sum("n").alias("c")).select("lang", F.lit(ORDER).alias("m"), "gram", "c", F.col("c").alias("r")), f"order{ORDER}")
+    grams = now
     for m in range(ORDER - 1, 0, -1):
-        orders[m] = orders[m + 1].groupBy("lang", F.col("gram").bitwiseAND(F.lit((1 << 8 * m) - 1)).alias("gram")).agg(F.count("*").alias("c"), F.sum("r").alias("r"))
-    lower: DataFrame | None = None
+        now = now.groupBy("lang", F.col("gram").bitwiseAND(F.lit((1 << 8 * m) - 1)).alias("gram")).agg(F.count("*").alias("c"), F.sum("r").alias("r"))
+        now = written(now.select("lang", F.lit(m).alias("m"), "gram", "c", "r"), f"order{m}")
+        grams = grams.unionByName(now)
+
+    # one row for each language and order: discounts, and how often an n-gram must occur to stay
+    stats = written(grams.groupBy("lang", "m").agg(F.sum("r").alias("all"), *[F.sum((F.col("c") == k).cast("double")).alias(f"n{k}") for k in (1, 2, 3, 4)]), "orders")
+    n_langs = stats.select(F.count_distinct("lang").alias("c")).first()["c"]
+    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+    usual = {1: 0.5, 2: 1.0, 3: 1.5}
+    discounts = [F.when((F.col(f"n{k}") > 0) & (F.col(f"n{k + 1}") > 0), F.greatest(F.lit(0.0), F.least(F.lit(float(k)), k - (k + 1) * y * F.try_divide(f"n{k + 1}", f"n{k}")))).otherwise(usual[k]).alias(f"d{k}") for k in (1, 2, 3)]
+    stats = stats.select("lang", "m", F.greatest(F.lit(float(least)), F.col("all") * n_langs / F.lit(float(1 << log2_size))).alias("least"), *discounts)
+
+    left = F.col("c") - F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
+    grams = grams.join(stats, ["lang", "m"]).select("lang", "m", "gram", F.shiftright("gram", 8).alias("ctx"), "c", left.alias("left"), ((F.col("r") >= F.col("least")) | (F.col("m") == 1)).alias("stays"))
+    contexts = grams.groupBy("lang", "m", "ctx").agg(F.sum("c").alias("total"), F.sum(F.when(F.col("stays"), F.col("left")).otherwise(0.0)).alias("kept"))
+    contexts = written(contexts.select("lang", "m", "ctx", "total", F.greatest(F.lit(1e-9), 1 - F.col("kept") / F.col("total")).alias("gamma")), "contexts")
+    kept = written(grams.filter("stays").join(contexts, ["lang", "m", "ctx"]).select("lang", "m", "gram", (F.col("left") / F.col("total")).alias("own"), "gamma"), "kept")
+
+    below = kept.filter("m = 1").select("lang", F.lit(0).cast("long").alias("suffix"), F.lit(1 / 256).alias("q")).distinct()
+    out = below.select("lang", F.lit(0).alias("m"), F.col("suffix").alias("gram"), F.col("q").alias("p"))
     for m in range(1, ORDER + 1):
-        now = orders[m]
-        d = now.groupBy("lang").agg(*[F.sum((F.col("c") == k).cast("double")).alias(f"n{k}") for k in (1, 2, 3, 4)])
-        y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
-        usual = {1: 0.5, 2: 1.0, 3: 1.5}
-        d = d.select("lang", *[F.when((F.col(f"n{k}") > 0) & (F.col(f"n{k + 1}") > 0), F.greatest(F.lit(0.0), F.least(F.lit(float(k)), k - (k + 1) * y * F.try_divide(f"n{k + 1}", f"n{k}")))).otherwise(usual[k]).alias(f"d{k}") for k in (1, 2, 3)])
-        now = now.join(F.broadcast(d.join(langs, "lang")), "lang")
-        now = now.withColumn("ctx", F.shiftright("gram", 8)).withColumn("left", F.col("c") - F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3")))
-        keep = (F.col("r") >= F.col("least")) | F.lit(m == 1)
-        contexts = now.groupBy("lang", "ctx").agg(F.sum("c").alias("total"), F.sum(F.when(keep, F.col("left")).otherwise(0.0)).alias("kept"))
-        contexts = contexts.withColumn("gamma", F.greatest(F.lit(1e-9), 1 - F.col("kept") / F.col("total")))
-        kept = now.filter(keep).select("lang", "gram", "ctx", "left").join(contexts.select("lang", "ctx", "total", "gamma"), ["lang", "ctx"])
-        if lower is None:
-            probs = kept.select("lang", "gram", (F.col("left") / F.col("total") + F.col("gamma") / 256).alias("p"))
-            table_ = [contexts.select("lang", F.lit(0).alias("m"), F.col("ctx").alias("gram"), F.lit(1 / 256).alias("p"), "gamma")]
-        else:
-            below = lower.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("q"))
-            probs = kept.withColumn("suffix", F.col("gram").bitwiseAND(F.lit((1 << 8 * (m - 1)) - 1))).join(below, ["lang", "suffix"], "left").select("lang", "gram", (F.col("left") / F.col("total") + F.col("gamma") * F.coalesce("q", F.lit(2.0**-20))).alias("p"))
-            # the back-off weight of a context stands beside its own probability
-            table_[-1] = table_[-1].drop("gamma").join(contexts.select("lang", F.col("ctx").alias("gram"), "gamma"), ["lang", "gram"], "left").select("lang", "m", "gram", "p", F.coalesce("gamma", F.lit(1.0)).alias("gamma"))
-        lower = written(probs, f"kn{m}")
-        table_.append(lower.select("lang", F.lit(m).alias("m"), "gram", "p", F.lit(1.0).alias("gamma")))
-    out = table_[0]
-    for t in table_[1:]:
-        out = out.unionByName(t)
-    return out.select("lang", "m", "gram", F.log2("p").cast("float").alias("logp"), F.log2("gamma").cast("float").alias("bow"))
+        mine = kept.filter(F.col("m") == m).withColumn("suffix", F.col("gram").bitwiseAND(F.lit((1 << 8 * (m - 1)) - 1)))
+        probs = mine.join(below, ["lang", "suffix"], "left").select("lang", "m", "gram", (F.col("own") + F.col("gamma") * F.coalesce("q", F.lit(2.0**-20))).alias("p"))
+        probs = written(probs, f"kn{m}")
+        below = probs.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("q"))
+        out = out.unionByName(probs)
+    # the back-off weight of a context stands beside its own probability, if it has one
+    weights = contexts.filter("gamma < 1").select("lang", (F.col("m") - 1).alias("m"), F.col("ctx").alias("gram"), "gamma")
+    out = out.join(weights, ["lang", "m", "gram"], "full")
+    return out.select("lang", "m", "gram", F.coalesce(F.log2("p"), F.lit(float("nan"))).cast("float").alias("logp"), F.log2(F.coalesce("gamma", F.lit(1.0))).cast("float").alias("bow"))
+
+
+def collected(table_: DataFrame) -> Model:
+    """The model on the driver: 16 bytes an n-gram, at most 2 * ORDER * 2**LOG2_SIZE of them and 256 a language."""
+    langs = {r["lang"]: i for i, r in enumerate(table_.select("lang").distinct().orderBy("lang").collect())}
+    number = table_.sparkSession.createDataFrame(list(langs.items()), "l string, number long")
+    packed = F.shiftleft("number", 43).bitwiseOR(F.shiftleft(F.col("m").cast("long"), 40)).bitwiseOR(F.col("gram"))
+    rows = table_.join(F.broadcast(number), F.col("lang") == F.col("l")).select(packed.alias("packed"), "logp", "bow").toArrow()
+    hashes = mix(rows["packed"].to_numpy().astype(U64))
+    order = np.argsort(hashes)
+    return Model(langs, hashes[order], rows["logp"].to_numpy()[order], rows["bow"].to_numpy()[order])
 
 
 @dataclass
@@ -160,15 +172,6 @@ class Model:
     logp: np.ndarray
     bow: np.ndarray
 
-    @staticmethod
-    def of(rows: pa.Table) -> Model:
-        langs = {x: i for i, x in enumerate(sorted(set(rows["lang"].unique().to_pylist())))}
-        code = np.array([langs[x] for x in rows["lang"].unique().to_pylist()], np.int64)
-        number = code[rows["lang"].combine_chunks().dictionary_encode().indices.to_numpy()] if len(rows) else np.empty(0, np.int64)
-        hashes = Model.hash(number.astype(U64), rows["m"].to_numpy().astype(U64), rows["gram"].to_numpy().astype(U64))
-        order = np.argsort(hashes)
-        return Model(langs, hashes[order], rows["logp"].to_numpy()[order], rows["bow"].to_numpy()[order])
-
     @staticmethod
     def hash(lang: np.ndarray, m, gram: np.ndarray) -> np.ndarray:
         return mix(lang << U64(43) | m << U64(40) | gram)
@@ -205,7 +208,7 @@ class Model:
                 return out
             now = gram[rest] & U64((1 << 8 * m) - 1)
             at = self.find(Model.hash(lang[rest], U64(m), now))
-            hit = at >= 0
+            hit = (at >= 0) & ~np.isnan(self.logp[at])
             out[rest[hit]] -= self.logp[at[hit]]
             rest, now = rest[~hit], now[~hit] >> U64(8)
             at = self.find(Model.hash(lang[rest], U64(m - 1), now))
@@ -292,7 +295,7 @@ def score(docs: DataFrame, *, text: str = "text", lang: str = "lang", carry: lis
     """`docs` (or its columns `carry`) with base metrics, q_log_ppl (bits a byte) and q_base_failed, as a written table."""
     spark = docs.sparkSession
     counts = written(count(docs, text, lang), "ngrams")
-    model = Model.of(model_table(counts, log2_size).toArrow())
+    model = collected(written(model_table(counts, log2_size), "model"))
     names = [c for c in (docs.columns if carry is None else carry) if not c.startswith("q_")]
     schema = T.StructType([docs.schema[c] for c in names] + [T.StructField("q_lang", T.StringType())] + [T.StructField(c, T.LongType()) for c in OWN] + [T.StructField("q_log_ppl", T.DoubleType())])
     rows = docs.select(*names, F.col(lang).cast("string").alias("q_lang"), F.col(text).cast("string").alias("q_text"))
