@@ -24,7 +24,7 @@ import json
 import os
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -112,24 +112,26 @@ class Chunk:
         return self.ids(int(self.starts[i]), int(self.starts[i + 1]))
 
 
-class Recent:
-    """Values of recently used keys: what is asked for moves to the new half, and the old half goes when the new one is full."""
+class Recent(dict):
+    """Values by key, made where missing. What was not asked for during one whole filling goes."""
 
-    def __init__(self, half: int):
-        self.half, self.new, self.old = half, {}, {}
+    def __init__(self, make: Callable[[bytes], bytes]):
+        super().__init__()
+        self.make, self.before = make, {}
 
-    def take(self, keys: set[bytes]) -> tuple[dict[bytes, bytes], list[bytes]]:
-        """What is known of the keys, and those that aren't known."""
-        found = {k: self.new[k] for k in keys & self.new.keys()}
-        for k in keys - found.keys():
-            if (x := self.old.get(k)) is not None:
-                found[k] = self.new[k] = x
-        return found, [k for k in keys if k not in found]
+    def __missing__(self, key: bytes) -> bytes:
+        value = self.before.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= KEEP_BYTES:
+            self[key] = value
+        return value
 
-    def keep(self, values: dict[bytes, bytes]) -> None:
-        self.new.update((k, x) for k, x in values.items() if len(k) <= KEEP_BYTES)
-        if len(self.new) > self.half:
-            self.old, self.new = self.new, {}
+    def turn(self) -> None:
+        """To be called now and then: starts a new filling when this one is full."""
+        if len(self) > KEEP_WORDS:
+            self.before = dict(self)
+            self.clear()
 
 
 class Encoder:
@@ -151,7 +153,7 @@ class Encoder:
 
         from tokenizers.pre_tokenizers import ByteLevel
 
-        self.tokenizer, self.words, self.parts = Tokenizer.from_file(path), Recent(KEEP_WORDS), Recent(KEEP_WORDS)
+        self.tokenizer, self.words, self.parts = Tokenizer.from_file(path), Recent(self.word), Recent(self.part)
         with open(path, encoding="utf-8") as file:
             build = json.load(file)
         self.by_words = [x["type"] for x in (build["normalizer"] or {}).get("normalizers", [])] == BUILD[0] and [(x["type"], x.get("pattern", {}).get("Regex")) for x in (build["pre_tokenizer"] or {}).get("pretokenizers", [])] == BUILD[1]
@@ -163,18 +165,14 @@ class Encoder:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         if not self.by_words:
             return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch([t.decode() for t in texts], add_special_tokens=False)]
-        split = [t.split() for t in texts]
-        known, new = self.words.take(set().union(*split))
-        cut = {w: self.cut(w) for w in new}
-        parts, missing = self.parts.take({p for pair in cut.values() for p in pair if p})
-        fresh = self.library(missing)
-        self.parts.keep(fresh)
-        parts |= fresh
-        parts[b""] = b""
-        made = {w: parts[stem] + parts[marks] for w, (stem, marks) in cut.items()}
-        self.words.keep(made)
-        known |= made
-        return [b"".join(map(known.__getitem__, x)) for x in split]
+        self.words.turn()
+        self.parts.turn()
+        ids = self.words.__getitem__
+        return [b"".join(map(ids, t.split())) for t in texts]
+
+    def word(self, word: bytes) -> bytes:
+        stem, marks = self.cut(word)
+        return self.parts[stem] + self.parts[marks] if marks else self.parts[stem]
 
     @staticmethod
     def cut(word: bytes) -> tuple[bytes, bytes]:
@@ -186,23 +184,11 @@ class Encoder:
         text = stem.decode()
         return (text.lower().encode(), word[len(stem) :]) if text.isalpha() and max(text) < "\u0100" else (word, b"")
 
-    def library(self, words: list[bytes]) -> dict[bytes, bytes]:
-        """Each word's ids, by one call for many."""
-        out, rest = {}, []
-        for w in words:
-            text = w.decode()
-            if text.isalpha() and max(text) < "\u0100" and text == text.lower():
-                out[w] = np.array([t.id for t in self.model.tokenize(text.translate(self.letters))], "<u4").tobytes()
-            else:
-                rest.append(w)
-        for i in range(0, len(rest), 4096):
-            some = rest[i : i + 4096]
-            made = self.tokenizer.encode([w.decode() for w in some], is_pretokenized=True, add_special_tokens=False)
-            ids, of = np.array(made.ids, "<u4"), np.array(made.word_ids, np.int64)
-            at = np.searchsorted(of, np.arange(len(some) + 1))
-            raw = ids.tobytes()
-            out.update((w, raw[4 * x : 4 * y]) for w, x, y in zip(some, at[:-1].tolist(), at[1:].tolist(), strict=True))
-        return out
+    def part(self, part: bytes) -> bytes:
+        text = part.decode()
+        if text.isalpha() and max(text) < "\u0100" and text == text.lower():
+            return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(text.translate(self.letters))])
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 _encoders: dict[str, Encoder] = {}
