@@ -8,13 +8,15 @@ modified Kneser-Ney smoothing.
 2. DataFrame operations derive continuation counts of the lower orders, the
    counts of counts and with them the three discounts of each order, each
    context's total, and the interpolated probabilities.
-3. An n-gram stays in the model if it occurs twice (else a text would be its own
-   proof) and its relative frequency in its language is at least
-   languages / 2**LOG2_SIZE; what others had goes to their context's back-off weight, so
-   that each context still sums to one. The rule is the same at every corpus
-   size, and bounds the model: at most 2**LOG2_SIZE n-grams an order.
-4. The model is broadcast as sorted arrays of 64-bit hashes, with a directory by
-   the hash's first bits: a look-up is a few numpy gathers.
+3. An n-gram stays in the model if it occurs LEAST times (else a text would be its
+   own proof), whatever the size of the corpus or the number of languages; what
+   others had goes to their context's back-off weight, so that each context still
+   sums to one.
+4. Each n-gram of the texts has been counted, so its bits are worked out once, by
+   DataFrame operations. The table is dealt by the first bits of 64-bit hashes to
+   shards of about SHARD_ROWS rows, sorted files in the shared folder; nothing of
+   it goes to the driver. A task holds CACHE_BYTES of shards at most: a larger
+   model is read shard by shard for each piece of text.
 
 A second model, of all languages together, scores every text too, and the better
 score counts: a text whose language column is wrong is not taken for noise.
@@ -33,6 +35,8 @@ operator's own begin with `q_`.
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -43,10 +47,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .shared import table, written
-from .words import NOT_SPACE, U64, Windows, Words, mix, pieces, utf8
+from .words import CHUNK_BYTES, NOT_SPACE, U64, Windows, Words, mix, pieces, utf8
 
 ORDER = 5
-LOG2_SIZE, LEAST = 18, 2
+LEAST = 2
+#: Rows of a shard of the model, and bytes of shards that a task holds at once.
+SHARD_ROWS, CACHE_BYTES = 1 << 20, 96 << 20
 REACH, SHORT = 6.0, 4.0
 #: Stands for all languages together.
 EVERY = "\0every"
@@ -112,8 +118,11 @@ def count(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     return docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")).mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def model_table(counts: DataFrame, log2_size: int = LOG2_SIZE, least: int = LEAST) -> DataFrame:
-    """(lang, m, gram, logp, bow) of all n-grams and contexts in the model, orders 0 to ORDER; logarithms to base 2, logp NaN for a mere context."""
+def smoothed(counts: DataFrame, log2_size: int | None = None, least: int = LEAST) -> tuple[list[DataFrame], DataFrame]:
+    """(lang, m, gram, p, stays) of all counted n-grams, a table an order from 0 to ORDER, and (lang, m, ctx, total, gamma) of all contexts.
+
+    With `log2_size`, n-grams rarer than languages / 2**log2_size don't stay either; by default all do that occur `least` times.
+    """
     named = counts.select(F.coalesce("lang", F.lit("")).alias("lang"), "gram", "n")
     named = named.unionByName(named.withColumn("lang", F.lit(EVERY)))
     # c: what the order's probabilities come from; r: how often it occurs
@@ -126,34 +135,47 @@ def model_table(counts: DataFrame, log2_size: int = LOG2_SIZE, least: int = LEAS
 
     # one row for each language and order: discounts, and how often an n-gram must occur to stay
     stats = written(grams.groupBy("lang", "m").agg(F.sum("r").alias("all"), *[F.sum((F.col("c") == k).cast("double")).alias(f"n{k}") for k in (1, 2, 3, 4)]), "orders")
-    n_langs = stats.select(F.count_distinct("lang").alias("c")).first()["c"]
+    bar = F.lit(float(least))
+    if log2_size is not None:
+        n_langs = stats.select(F.count_distinct("lang").alias("c")).first()["c"]
+        bar = F.greatest(bar, F.col("all") * n_langs / F.lit(float(1 << log2_size)))
     y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
     usual = {1: 0.5, 2: 1.0, 3: 1.5}
     discounts = [F.when((F.col(f"n{k}") > 0) & (F.col(f"n{k + 1}") > 0), F.greatest(F.lit(0.0), F.least(F.lit(float(k)), k - (k + 1) * y * F.try_divide(f"n{k + 1}", f"n{k}")))).otherwise(usual[k]).alias(f"d{k}") for k in (1, 2, 3)]
-    stats = stats.select("lang", "m", F.greatest(F.lit(float(least)), F.col("all") * n_langs / F.lit(float(1 << log2_size))).alias("least"), *discounts)
+    stats = stats.select("lang", "m", bar.alias("least"), *discounts)
 
     left = F.col("c") - F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
     grams = grams.join(stats, ["lang", "m"]).select("lang", "m", "gram", F.shiftright("gram", 8).alias("ctx"), "c", left.alias("left"), ((F.col("r") >= F.col("least")) | (F.col("m") == 1)).alias("stays"))
     contexts = grams.groupBy("lang", "m", "ctx").agg(F.sum("c").alias("total"), F.sum(F.when(F.col("stays"), F.col("left")).otherwise(0.0)).alias("kept"))
     contexts = written(contexts.select("lang", "m", "ctx", "total", F.greatest(F.lit(1e-9), 1 - F.col("kept") / F.col("total")).alias("gamma")), "contexts")
-    kept = written(grams.filter("stays").join(contexts, ["lang", "m", "ctx"]).select("lang", "m", "gram", (F.col("left") / F.col("total")).alias("own"), "gamma"), "kept")
+    # an n-gram that doesn't stay has what its context hands down
+    own = F.when(F.col("stays"), F.col("left") / F.col("total")).otherwise(0.0)
+    owned = written(grams.join(contexts, ["lang", "m", "ctx"]).select("lang", "m", "gram", own.alias("own"), "gamma", "stays"), "owned")
 
-    below = kept.filter("m = 1").select("lang", F.lit(0).cast("long").alias("suffix"), F.lit(1 / 256).alias("q")).distinct()
-    out = below.select("lang", F.lit(0).alias("m"), F.col("suffix").alias("gram"), F.col("q").alias("p"))
+    base = owned.filter("m = 1").select("lang").distinct()
+    orders = [base.select("lang", F.lit(0).alias("m"), F.lit(0).cast("long").alias("gram"), F.lit(1 / 256).alias("p"), F.lit(True).alias("stays"))]
     for m in range(1, ORDER + 1):
-        mine = kept.filter(F.col("m") == m).withColumn("suffix", F.col("gram").bitwiseAND(F.lit((1 << 8 * (m - 1)) - 1)))
-        probs = mine.join(below, ["lang", "suffix"], "left").select("lang", "m", "gram", (F.col("own") + F.col("gamma") * F.coalesce("q", F.lit(2.0**-20))).alias("p"))
-        probs = written(probs, f"kn{m}")
-        below = probs.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("q"))
+        below = orders[-1].select("lang", F.col("gram").alias("suffix"), F.col("p").alias("q"))
+        mine = owned.filter(F.col("m") == m).withColumn("suffix", F.col("gram").bitwiseAND(F.lit((1 << 8 * (m - 1)) - 1)))
+        probs = mine.join(below, ["lang", "suffix"]).select("lang", "m", "gram", (F.col("own") + F.col("gamma") * F.col("q")).alias("p"), "stays")
+        orders.append(written(probs, f"kn{m}"))
+    return orders, contexts
+
+
+def model_table(counts: DataFrame, log2_size: int | None = None, least: int = LEAST) -> DataFrame:
+    """(lang, m, gram, logp, bow) of all n-grams and contexts in the model, orders 0 to ORDER; logarithms to base 2, logp NaN for a mere context."""
+    orders, contexts = smoothed(counts, log2_size, least)
+    out = orders[0]
+    for probs in orders[1:]:
         out = out.unionByName(probs)
     # the back-off weight of a context stands beside its own probability, if it has one
     weights = contexts.filter("gamma < 1").select("lang", (F.col("m") - 1).alias("m"), F.col("ctx").alias("gram"), "gamma")
-    out = out.join(weights, ["lang", "m", "gram"], "full")
+    out = out.filter("stays").join(weights, ["lang", "m", "gram"], "full")
     return out.select("lang", "m", "gram", F.coalesce(F.log2("p"), F.lit(float("nan"))).cast("float").alias("logp"), F.log2(F.coalesce("gamma", F.lit(1.0))).cast("float").alias("bow"))
 
 
 def collected(table_: DataFrame) -> Model:
-    """The model on the driver: 16 bytes an n-gram, at most 2 * ORDER * 2**LOG2_SIZE of them and 256 a language."""
+    """The model of a small table on the driver, which has probabilities of unseen n-grams too; the operator reads shards."""
     langs = {r["lang"]: i for i, r in enumerate(table_.select("lang").distinct().orderBy("lang").collect())}
     number = table_.sparkSession.createDataFrame(list(langs.items()), "l string, number long")
     packed = F.shiftleft("number", 43).bitwiseOR(F.shiftleft(F.col("m").cast("long"), 40)).bitwiseOR(F.col("gram"))
@@ -163,23 +185,19 @@ def collected(table_: DataFrame) -> Model:
     return Model(langs, hashes[order], rows["logp"].to_numpy()[order], rows["bow"].to_numpy()[order])
 
 
-@dataclass
-class Model:
-    """Sorted hashes of (language, order, n-gram), with log2 probability and back-off weight of each."""
+class Sorted:
+    """Sorted hashes, with a directory by their bits after the first `skip`, which all share."""
 
-    langs: dict[str, int]
     hashes: np.ndarray
-    logp: np.ndarray
-    bow: np.ndarray
-
-    @staticmethod
-    def hash(lang: np.ndarray, m, gram: np.ndarray) -> np.ndarray:
-        return mix(lang << U64(43) | m << U64(40) | gram)
+    skip: int = 0
 
     def directory(self) -> tuple[int, np.ndarray]:
         if not hasattr(self, "_dir"):
             bits = max(1, len(self.hashes).bit_length())
-            starts = np.searchsorted(self.hashes, np.arange(1 << bits, dtype=U64) << U64(64 - bits))
+            ends = np.arange(1 << bits, dtype=U64) << U64(64 - bits - self.skip)
+            if self.skip and len(self.hashes):
+                ends |= self.hashes[0] >> U64(64 - self.skip) << U64(64 - self.skip)
+            starts = np.searchsorted(self.hashes, ends)
             self._dir = bits, starts.astype(np.int32)
             self._padded = np.append(self.hashes, U64(0xFFFFFFFFFFFFFFFF))
         return self._dir
@@ -187,7 +205,7 @@ class Model:
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Index of each hash in the arrays, or -1."""
         bits, starts = self.directory()
-        at = starts[(hashes >> U64(64 - bits)).astype(np.int64)]
+        at = starts[(hashes << U64(self.skip) >> U64(64 - bits)).astype(np.int64)]
         here = self._padded[at]
         found = np.where(here == hashes, at, -1)
         rest = np.flatnonzero(here < hashes)
@@ -200,6 +218,20 @@ class Model:
             rest = rest[here < want]
         return found
 
+
+@dataclass
+class Model(Sorted):
+    """Sorted hashes of (language, order, n-gram), with log2 probability and back-off weight of each."""
+
+    langs: dict[str, int]
+    hashes: np.ndarray
+    logp: np.ndarray
+    bow: np.ndarray
+
+    @staticmethod
+    def hash(lang: np.ndarray, m, gram: np.ndarray) -> np.ndarray:
+        return mix(lang << U64(43) | m << U64(40) | gram)
+
     def bits(self, lang: np.ndarray, gram: np.ndarray) -> np.ndarray:
         """-log2 of the probability of each n-gram's last byte after the others."""
         out, rest = np.zeros(len(gram), np.float32), np.arange(len(gram))
@@ -217,10 +249,98 @@ class Model:
         out[rest] += 8
         return out
 
-    def sums(self, lang: np.ndarray, gram: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """Bits of each text; a long one in parts, so that temporaries stay small."""
-        each = [self.bits(lang[k : k + (1 << 20)], gram[k : k + (1 << 20)]) for k in range(0, len(gram), 1 << 20)]
-        return np.diff(np.concatenate(([0.0], np.cumsum(np.concatenate([np.empty(0), *each]))))[bounds])
+
+def lang_key(lang: str | None) -> int:
+    return int.from_bytes(hashlib.blake2b((lang or "").encode(), digest_size=8).digest(), "little")
+
+
+def gram_hash(key: np.ndarray, gram: np.ndarray) -> np.ndarray:
+    """Hash of a language's key and an n-gram of the highest order."""
+    return mix(gram * U64(0x9E3779B97F4A7C15) ^ key)
+
+
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        langs = batch.column(0).dictionary_encode()
+        keys = np.array([lang_key(k) for k in langs.dictionary.to_pylist()], U64)
+        hashes = gram_hash(keys[langs.indices.to_numpy()], batch.column(1).to_numpy().astype(U64))
+        yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), batch.column(2)], ["hash", "bits"])
+
+
+@dataclass
+class Shard(Sorted):
+    hashes: np.ndarray
+    values: np.ndarray
+    skip: int
+
+
+#: Shards that this process holds, by file.
+_held: dict[str, Shard] = {}
+
+
+@dataclass
+class Shards:
+    """Bits of each counted n-gram, in sorted files of the shared folder by the first `skip` bits of the hash."""
+
+    files: dict[int, list[str]]
+    skip: int
+    fits: bool
+
+    def shard(self, number: int) -> Shard | None:
+        import pyarrow.parquet as pq
+        from pyarrow.fs import FileSystem
+
+        names = self.files.get(number)
+        if not names:
+            return None
+        if names[0] not in _held:
+            if not self.fits or not any(n[0] in _held for n in self.files.values()):
+                _held.clear()
+            parts = []
+            for name in names:
+                system, path = FileSystem.from_uri(name)
+                parts.append(pq.ParquetFile(path, filesystem=system).read(["hash", "bits"]))
+            rows = pa.concat_tables(parts)
+            hashes, values = rows["hash"].to_numpy().view(U64), rows["bits"].to_numpy()
+            if len(names) > 1:
+                order = np.argsort(hashes)
+                hashes, values = hashes[order], values[order]
+            _held[names[0]] = Shard(hashes, values, self.skip)
+        return _held[names[0]]
+
+    def bits(self, hashes: np.ndarray) -> np.ndarray:
+        """-log2 of the probability of each n-gram's last byte after the others."""
+        out = np.empty(len(hashes), np.float32)
+        owner = (hashes >> U64(64 - self.skip)).astype(np.uint16)
+        order = np.argsort(owner, kind="stable")
+        ends = np.cumsum(np.bincount(owner, minlength=1 << self.skip))
+        for number in range(1 << self.skip):
+            mine = order[ends[number - 1] if number else 0 : ends[number]]
+            if len(mine):
+                shard = self.shard(number)
+                at = shard.find(hashes[mine]) if shard else np.full(1, -1)
+                if (at < 0).any():
+                    raise LookupError("an n-gram of the texts was not counted")
+                out[mine] = shard.values[at]
+        return out
+
+    def sums(self, key: np.ndarray, grams: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Bits of each text, whose language has the key."""
+        bits = self.bits(gram_hash(np.repeat(key, sizes), grams))
+        return np.diff(np.concatenate(([0.0], np.cumsum(bits, dtype=np.float64)))[np.concatenate(([0], np.cumsum(sizes)))])
+
+
+def sharded(grams: DataFrame, rows: int | None = None, cache: int | None = None) -> Shards:
+    """The table (lang, gram, p) of the highest order as shards of about `rows` rows."""
+    n = grams.count()
+    skip = min(16, max(1, (n // (rows or SHARD_ROWS)).bit_length()))
+    hashed = grams.select("lang", "gram", (-F.log2("p")).cast("float").alias("bits")).mapInArrow(_hashed, "hash long, bits float")
+    dealt = hashed.withColumn("shard", F.shiftrightunsigned("hash", 64 - skip).cast("int")).repartition("shard").sortWithinPartitions("shard", "hash")
+    files: dict[int, list[str]] = {}
+    for name in written(dealt, "model", by="shard").inputFiles():
+        files.setdefault(int(re.search(r"/shard=(\d+)/", name)[1]), []).append(name)
+    # 12 bytes a row, 8 for the padded copy, 8 at most for the directory
+    return Shards(files, skip, 28 * n <= (CACHE_BYTES if cache is None else cache))
 
 
 def base_metrics(texts: list[bytes | None]) -> dict[str, np.ndarray]:
@@ -263,26 +383,27 @@ def base_metrics(texts: list[bytes | None]) -> dict[str, np.ndarray]:
 OWN = ["q_words", "q_word_chars", "q_symbols", "q_dup_lines", "q_repeat_words", "q_bytes"]
 
 
-def _score(shared, names: list[str], schema: T.StructType):
+def _score(model: Shards, names: list[str], schema: T.StructType):
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Model = shared.value
+        # a model that doesn't fit is read anew for each piece of text
+        limit = 1 << 19 if model.fits else 1 << 23
         for batch in batches:
             field = batch.schema.get_field_index
             texts, langs = utf8(batch.column(field("q_text"))), batch.column(field("q_lang")).to_pylist()
-            for a, b in pieces(texts):
-                made = base_metrics(texts[a:b])
+            for a, b in pieces(texts, max(limit, CHUNK_BYTES)):
+                parts = [base_metrics(texts[a + i : a + j]) for i, j in pieces(texts[a:b])]
+                made = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
                 filled = [t or b"" for t in texts[a:b]]
                 total = np.zeros(b - a)
-                for i, j in pieces(filled, 1 << 19):
+                for i, j in pieces(filled, limit):
                     grams, sizes = ngrams(filled[i:j])
-                    bounds = np.concatenate(([0], np.cumsum(sizes)))
-                    own = np.array([model.langs.get(k or "", len(model.langs)) for k in langs[a + i : a + j]], U64)
-                    every = np.full(j - i, model.langs.get(EVERY, len(model.langs)), U64)
-                    total[i:j] = np.minimum(*[model.sums(np.repeat(k, sizes), grams, bounds) for k in (own, every)])
+                    own = np.array([lang_key(k) for k in langs[a + i : a + j]], U64)
+                    every = np.full(j - i, lang_key(EVERY), U64)
+                    total[i:j] = np.minimum(*[model.sums(k, grams, sizes) for k in (own, every)])
                 made["q_bytes"] = np.fromiter(map(len, filled), np.int64, b - a)
                 log_ppl = pa.array(total / np.maximum(made["q_bytes"], 1), pa.float64(), mask=made["q_bytes"] == 0)
                 own = [pa.array(made[k], pa.int64()) for k in OWN] + [log_ppl]
@@ -291,15 +412,14 @@ def _score(shared, names: list[str], schema: T.StructType):
     return run
 
 
-def score(docs: DataFrame, *, text: str = "text", lang: str = "lang", carry: list[str] | None = None, log2_size: int = LOG2_SIZE) -> DataFrame:
+def score(docs: DataFrame, *, text: str = "text", lang: str = "lang", carry: list[str] | None = None, log2_size: int | None = None, shard_rows: int | None = None, cache_bytes: int | None = None) -> DataFrame:
     """`docs` (or its columns `carry`) with base metrics, q_log_ppl (bits a byte) and q_base_failed, as a written table."""
-    spark = docs.sparkSession
     counts = written(count(docs, text, lang), "ngrams")
-    model = collected(written(model_table(counts, log2_size), "model"))
+    model = sharded(smoothed(counts, log2_size)[0][ORDER], shard_rows, cache_bytes)
     names = [c for c in (docs.columns if carry is None else carry) if not c.startswith("q_")]
     schema = T.StructType([docs.schema[c] for c in names] + [T.StructField("q_lang", T.StringType())] + [T.StructField(c, T.LongType()) for c in OWN] + [T.StructField("q_log_ppl", T.DoubleType())])
     rows = docs.select(*names, F.col(lang).cast("string").alias("q_lang"), F.col(text).cast("string").alias("q_text"))
-    scored = written(rows.mapInArrow(_score(spark.sparkContext.broadcast(model), [*names, "q_lang"], schema), schema), "scored")
+    scored = written(rows.mapInArrow(_score(model, [*names, "q_lang"], schema), schema), "scored")
     return scored.withColumn("q_base_failed", (F.col("q_words") < 10) | (100 * F.col("q_repeat_words") > 20 * F.col("q_words")))
 
 

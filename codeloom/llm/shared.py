@@ -20,8 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The frame, written as Parquet in the shared folder and read back.
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """The frame, written as Parquet in the shared folder (in folders of column `by`) and read back.
 
     It cuts the lineage: a lost executor costs the tasks of one later stage,
     not the stages before. Spark's commit protocol keeps half-written or
@@ -29,7 +29,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/codeloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=by)
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)

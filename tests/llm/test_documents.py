@@ -374,6 +374,28 @@ def test_model_sums_to_one_and_equals_a_plain_one(spark, data):
     assert np.allclose(p, [plain(g) for g in asked], rtol=1e-3)
 
 
+def test_model_keeps_all_ngrams_at_any_size(spark):
+    big = [("en", int.from_bytes(g, "big"), n) for g, n in ((b"aaaaa", 10**9), (b"aaaab", 2), (b"bcdef", 3), (b"xyzxy", 1))]
+    rows = [*big, *[(f"other{i}", 7, 2) for i in range(50)]]
+    model = quality.model_table(spark.createDataFrame(rows, "lang string, gram long, n long"))
+    kept = {r["gram"] for r in model.filter("lang = 'en' and m = 5 and not isnan(logp)").collect()}
+    assert kept == {g for _, g, n in big if n > 1}
+
+
+@pytest.mark.parametrize("rows, cache", [(1 << 20, 1 << 30), (100, 1 << 30), (100, 0)])
+def test_scores_by_shards_equal_the_plain_model(spark, data, rows, cache):
+    docs = spark.read.parquet(f"{data[0]}/documents.parquet")
+    model = quality.collected(quality.model_table(quality.count(docs)))
+    got = {r["doc_id"]: r["q_log_ppl"] for r in quality.score(docs, shard_rows=rows, cache_bytes=cache).collect()}
+    for d, t, lang, _ in data[1]:
+        if not t:
+            assert got[d] is None
+            continue
+        grams, _ = quality.ngrams([t.encode()])
+        bits = [model.bits(np.full(len(grams), model.langs[k], np.uint64), grams).mean(dtype=float) for k in (lang or "", quality.EVERY)]
+        assert np.isclose(got[d], min(bits), rtol=1e-4)
+
+
 def test_empty_tables(spark, tmp_path):
     folder = fixture.empty(tmp_path)
     for name, query in entries.queries().items():
