@@ -392,8 +392,26 @@ def test_scores_by_shards_equal_the_plain_model(spark, data, rows, cache):
             assert got[d] is None
             continue
         grams, _ = quality.ngrams([t.encode()])
-        bits = [model.bits(np.full(len(grams), model.langs[k], np.uint64), grams).mean(dtype=float) for k in (lang or "", quality.EVERY)]
-        assert np.isclose(got[d], min(bits), rtol=1e-4)
+        bits = model.bits(np.full(len(grams), model.langs[lang or ""], np.uint64), grams).mean(dtype=float)
+        assert np.isclose(got[d], bits, rtol=1e-4)
+
+
+def test_bands_reject_junk_and_text_of_another_language(spark, tmp_path):
+    import random
+
+    rng = random.Random(9)
+
+    def text(syllables, end=lambda: ""):
+        return " ".join("".join(rng.choice(syllables) for _ in range(rng.randint(1, 4))) + end() for _ in range(150))
+
+    one, other = ["ba", "de", "ko", "mi", "ru", "lan", "tor"], ["xi", "yq", "zu", "vej", "hw", "gof", "cus"]
+    rows = [(i, text(one), "en", "s") for i in range(300)] + [(300 + i, text(other), "xx", "s") for i in range(300)]
+    rows += [(600 + i, text(one, lambda: rng.choice("#*$%&") * 3), "en", "s") for i in range(15)]
+    rows += [(700 + i, text(other), "en", "s") for i in range(3)]
+    fixture.documents(tmp_path, rows)
+    kept = {r["doc_id"]: r["kept"] for r in quality.op1_quality(spark, str(tmp_path)).collect()}
+    assert sum(kept[i] for i in range(600)) > 580
+    assert not any(kept[d] for d in kept if d >= 600)
 
 
 def test_empty_tables(spark, tmp_path):
