@@ -1,19 +1,28 @@
 """Operator 2: near-duplicates by SuperMinHash.
 
-1. One pass over the texts: distinct shingles of SHINGLE words, their
-   SuperMinHash signature (below), and its bands. Texts of equal words are one
-   node (128 bits), so that copies cost one row each and no links.
-2. Banding: in a bucket of a band each node is paired with one leader (a new
-   one each round), never with all. Candidate pairs are verified on the full
-   shingle sets.
+1. One pass over the texts: distinct shingles, their SuperMinHash signature
+   (below), and its bands. Texts of equal words are one node (128 bits of BLAKE2
+   over the words), so that copies cost one row each and no links.
+2. Banding: nodes that share a bucket of a band are candidates. The node that
+   shares buckets with most others leads its buckets; every other node of a bucket
+   is verified against the leader on the full shingle sets, never against all.
+   Nodes of buckets with one leader form the leader's star.
 3. Verified links are grouped: union-find inside tasks, then alternating star
    contractions between them, until nothing changes.
-4. Nodes that share a bucket but are in different groups so far are the only
-   pairs left that could still link groups. For these nodes alone shingles are
-   counted: what a node has for itself bounds its similarity with any other. One
-   that has too much of it has no link at all; the one with least of it leads its
-   bucket in a second round. Pairs that the bound still allows are compared by
-   signature, verified in full if near, and grouped again.
+4. A star that lies in one group is done. In any other, let L be its leader, and x
+   and y two of its nodes in different groups. Linked sets have at least 4/9 of
+   the sum of their sizes in common, and outside of L they have in common at least
+   that less what either shares with L. So a link between x and y shows in one of
+   two ways, and only such nodes stay together in a smaller star:
+   - they have a shingle in common that L lacks. Prefix filter: with the shingles
+     that L lacks ordered by how many nodes of the star have them, one of the first
+     |x without L| - t + 1 is in common, where t is the least overlap that links x with
+     any node of the star;
+   - all they have in common is in L. Since one of them isn't linked with L, the
+     other must then be smaller than L.
+   The smaller stars get leaders of their own, and so on until all lie in one
+   group. No pair of candidates is left undecided, and none is dropped unless a
+   bound rules its link out; families of variants are not paired with each other.
 
 SuperMinHash (Ertl 2017): instead of independent hash functions, every element
 walks one random permutation of the signature's places; its j-th place gets
@@ -22,7 +31,8 @@ variance, and a text is done as soon as all places hold less than j. Here one
 step j is taken for all unfinished texts of a batch at once.
 
 With BANDS bands of ROWS values, a pair of similarity 0.8 shares no bucket with
-probability (1 - 0.8**ROWS)**BANDS, 3e-6.
+probability (1 - 0.8**ROWS)**BANDS, 3e-6. Shingles are compared by 64 bits inside
+a pair; a wrong verdict needs an accidental collision within it.
 
 Defined results: null, empty and wordless texts have no shingle and are
 linked with nothing: they are their own component. A null doc_id counts as
@@ -32,36 +42,38 @@ columns are not used.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .shared import table, written
-from .words import NOT_SPACE, U64, Windows, Words, mix, pieces, utf8
+from .words import NOT_SPACE, U64, Windows, Words, mix, pieces, tidy, utf8
 
-SHINGLE, PLACES, ROWS = 4, 96, 4
+SHINGLE, PLACES, ROWS = 5, 96, 4
 BANDS = PLACES // ROWS
 #: Links need 100 * common >= 80 * all.
 PERCENT = 80
-#: Of PLACES, equal places below which a pair is not verified: over 4.8 standard deviations under 80 %.
-LEAST_EQUAL = 58
-STAR_ROUNDS = 1
+#: So many links or fewer are grouped by union-find in one task.
+SOLO = 1 << 17
 FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 BLANK = np.uint32(0xFFFFFFFF)
+OWNER = U64(0xA0761D6478BD642F)
 
 
-def shingles(words: Words) -> tuple[np.ndarray, np.ndarray]:
+def shingles(words: Words, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingles of each text: hashes, and the text of each, in order of texts."""
     windows = Windows(words.hashes())
-    found, owner = windows.every(SHINGLE), words.text_of()
-    start = np.flatnonzero(np.arange(len(found)) + SHINGLE <= words.first[1:][owner[: len(found)]])
-    few = np.flatnonzero((words.count > 0) & (words.count < SHINGLE))
+    found, owner = windows.every(size), words.text_of()
+    start = np.flatnonzero(np.arange(len(found)) + size <= words.first[1:][owner[: len(found)]])
+    few = np.flatnonzero((words.count > 0) & (words.count < size))
     values = np.concatenate((found[start], windows.of(words.first[few], words.first[few + 1])))
     texts = np.concatenate((owner[start], few))
-    keys = mix(values ^ (texts.astype(U64) * U64(0xA0761D6478BD642F)))
+    keys = mix(values ^ (texts.astype(U64) * OWNER))
     order = np.argsort(keys)
     ordered = keys[order]
     first = np.sort(order[np.concatenate(([True], ordered[1:] != ordered[:-1]))]) if len(order) else order
@@ -112,221 +124,233 @@ def band_keys(signatures: np.ndarray) -> np.ndarray:
     return keys.astype(np.int64)
 
 
-def node_ids(words: Words) -> list[bytes | None]:
+def digests(texts: list[bytes | None]) -> list[bytes | None]:
     """128 bits of the word sequence of each text; null without words."""
-    windows = Windows(words.hashes())
-    one = windows.of(words.first[:-1], words.first[1:])
-    two = Windows(mix(words.hashes() + U64(0x51ED270B35AE1C2D))).of(words.first[:-1], words.first[1:])
-    both = np.column_stack((one, two)).astype(">u8").tobytes()
-    return [both[16 * i : 16 * i + 16] if n else None for i, n in enumerate(words.count.tolist())]
+    words = [(t or b"").translate(FOLD).split() for t in texts]
+    return [hashlib.blake2b(b" ".join(w), digest_size=16).digest() if w else None for w in words]
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = utf8(batch.column(1))
-        for a, b in pieces(texts):
-            words = Words(texts[a:b], NOT_SPACE, FOLD)
-            values, owner = shingles(words)
-            signatures = super_minhash(values, owner, b - a)
-            keys = band_keys(signatures)
-            n = np.bincount(owner, minlength=b - a)
-            offsets = pa.array(np.arange(b - a + 1) * BANDS, pa.int32())
-            raw = signatures.astype("<u4").tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(node_ids(words), pa.binary()), pa.array(n, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(keys.ravel())), pa.array([raw[4 * PLACES * i : 4 * PLACES * (i + 1)] for i in range(b - a)], pa.binary())], ["doc_id", "node", "n_shingles", "bands", "signature"])
-
-
-def _nodes(names: list[str], text: str):
+def _sign(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = utf8(batch.column(1))
+            for a, b in pieces(texts):
+                values, owner = shingles(Words(texts[a:b], NOT_SPACE, FOLD), size)
+                keys = band_keys(super_minhash(values, owner, b - a))
+                n = np.bincount(owner, minlength=b - a)
+                offsets = pa.array(np.arange(b - a + 1) * BANDS, pa.int32())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(digests(texts[a:b]), pa.binary()), pa.array(n, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(keys.ravel()))], ["doc_id", "digest", "n_shingles", "bands"])
+        tidy()
+
+    return run
+
+
+def _digested(names: list[str], text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = utf8(batch.column(batch.schema.get_field_index(text)))
             for a, b in pieces(texts):
-                part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(node_ids(Words(texts[a:b], NOT_SPACE, FOLD)), pa.binary())], [*part.schema.names, "near_node"])
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, pa.array(digests(texts[a:b]), pa.binary())], [*batch.schema.names, "near_node"])
+        tidy()
 
     return run
 
 
 def with_nodes(docs: DataFrame, text: str = "text") -> DataFrame:
     """`docs` with near_node: equal for texts of equal words."""
-    from pyspark.sql import types as T
+    return docs.mapInArrow(_digested(docs.columns, text), T.StructType([*docs.schema.fields, T.StructField("near_node", T.BinaryType())]))
 
-    return docs.mapInArrow(_nodes(docs.columns, text), T.StructType([*docs.schema.fields, T.StructField("near_node", T.BinaryType())]))
 
+def _compared(size: int, outside: bool):
+    """(node, leader, node's text, leader's text) -> whether they are linked, or (`outside`) sizes and the node's shingles that the leader lacks."""
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, text_a, text_b) -> (a, b, linked), on the full sets."""
-    for batch in batches:
-        one, two = utf8(batch.column(2)), utf8(batch.column(3))
-        size = [len(x or b"") + len(y or b"") for x, y in zip(one, two, strict=True)]
-        low = 0
-        while low < len(one):
-            high, held = low, 0
-            while high < len(one) and (high == low or held < 1 << 20):
-                held += size[high]
-                high += 1
-            n = high - low
-            values, owner = shingles(Words(one[low:high] + two[low:high], NOT_SPACE, FOLD))
-            count = np.bincount(owner, minlength=2 * n)
-            keys = np.sort(mix(values ^ ((owner % n).astype(U64) * U64(0xE7037ED1A0B428DB))))
-            common_keys = keys[1:][keys[1:] == keys[:-1]]
-            pair = owner[:0]
-            if len(common_keys):
-                mine = owner < n
-                own_keys = mix(values[mine] ^ (owner[mine].astype(U64) * U64(0xE7037ED1A0B428DB)))
-                at = np.minimum(np.searchsorted(common_keys, own_keys), len(common_keys) - 1)
-                pair = owner[mine][common_keys[at] == own_keys]
-            common = np.bincount(pair, minlength=n)
-            total = count[:n] + count[n:] - common
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, n), batch.column(1).slice(low, n), pa.array((100 * common >= PERCENT * total) & (total > 0))], ["a", "b", "linked"])
-            low = high
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            leaders, texts, leading = batch.column(1).to_numpy(), utf8(batch.column(2)), batch.column(3)
+            new = np.concatenate(([True], leaders[1:] != leaders[:-1]))
+            for a, b in pieces(texts):
+                # rows come by leader: its text is taken once a run
+                heads = np.flatnonzero(new[a:b] | (np.arange(b - a) == 0))
+                which = np.searchsorted(heads, np.arange(b - a), "right") - 1
+                values, owner = shingles(Words(texts[a:b], NOT_SPACE, FOLD), size)
+                count = np.bincount(owner, minlength=b - a)
+                led, lacks = np.zeros(len(heads), np.int64), np.ones(len(values), bool)
+                heading = utf8(leading.take(pa.array(heads + a)))
+                for i, j in pieces(heading):
+                    theirs, of = shingles(Words(heading[i:j], NOT_SPACE, FOLD), size)
+                    led[i:j] = np.bincount(of, minlength=j - i)
+                    known = np.sort(mix(theirs ^ (of.astype(U64) * OWNER)))
+                    mine = np.flatnonzero((which[owner] >= i) & (which[owner] < j))
+                    if len(known) and len(mine):
+                        keys = mix(values[mine] ^ ((which[owner[mine]] - i).astype(U64) * OWNER))
+                        lacks[mine] = known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] != keys
+                common = np.bincount(owner[~lacks], minlength=b - a)
+                ids = [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a)]
+                if outside:
+                    offsets = np.concatenate(([0], np.cumsum(count - common)))
+                    yield pa.RecordBatch.from_arrays([*ids, pa.array(common, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values[lacks].astype(np.int64)))], ["node", "leader", "common", "lacks"])
+                else:
+                    total = count + led[which] - common
+                    yield pa.RecordBatch.from_arrays([*ids, pa.array((100 * common >= PERCENT * total) & (total > 0))], ["node", "leader", "linked"])
+        tidy()
+
+    return run
 
 
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Union-find over the links of a batch: (member, root) for each node that is not a root."""
-    for batch in batches:
-        parent: dict[bytes, bytes] = {}
-
-        def find(x: bytes, parent: dict[bytes, bytes] = parent) -> bytes:
-            root = x
-            while parent.setdefault(root, root) != root:
-                root = parent[root]
-            while parent[x] != root:
-                parent[x], x = root, parent[x]
-            return root
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        root = x
+        while parent.setdefault(root, root) != root:
+            root = parent[root]
+        while parent[x] != root:
+            parent[x], x = root, parent[x]
+        return root
+
+    def out() -> pa.RecordBatch:
+        rows = [(x, find(x)) for x in list(parent)]
+        rows = [r for r in rows if r[0] != r[1]]
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], ["u", "v"])
 
+    for batch in batches:
         for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             a, b = find(a), find(b)
             if a != b:
                 parent[max(a, b)] = min(a, b)
-        rows = [(x, find(x)) for x in parent]
-        rows = [r for r in rows if r[0] != r[1]]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], ["u", "v"])
+        if len(parent) > 2 * SOLO:
+            yield out()
+            parent.clear()
+    yield out()
 
 
-def components(links: DataFrame) -> DataFrame:
-    """links (u, v) -> (node, comp) for every node with a link; comp is the smallest node of the component."""
-    edges = links.mapInArrow(_contract, "u binary, v binary")
-    edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v").distinct()
-    edges, before = written(edges, "edges"), None
+def components(links: DataFrame, solo: int = SOLO) -> DataFrame:
+    """links (u, v) of longs -> (node, comp) for every node with a link that is not the smallest of its component, comp."""
+    edges = links.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"))
+    edges = written(edges.mapInArrow(_contract, "u long, v long").distinct(), "edges")
+    before = None
     while True:
+        now = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"), F.count_distinct("u").alias("k")).first()
+        if now["n"] <= solo:
+            edges = written(edges.coalesce(1).mapInArrow(_contract, "u long, v long"), "edges")
+        if now["n"] <= solo or now == before:
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("comp"))
+        before = now
         # large star: neighbours larger than a node get the smallest of its neighbourhood
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
         large = both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.filter("u != v").distinct()
         # small star: a node and its smaller neighbours get the smallest of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         edges = written(small.filter("u != v").distinct(), "edges")
-        now = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"), F.count_distinct("u").alias("k")).first()
-        if now == before or not now["n"]:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("comp"))
-        before = now
 
 
-def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, and near_node of each row of `docs`."""
+def _merged(groups: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Groups (node, comp) after further links (u, v)."""
+    if groups is None:
+        return components(links)
+    g, h = groups.select(F.col("node").alias("g"), F.col("comp").alias("gc")), groups.select(F.col("node").alias("h"), F.col("comp").alias("hc"))
+    between = links.join(g, F.col("u") == F.col("g"), "left").join(h, F.col("v") == F.col("h"), "left")
+    between = between.select(F.coalesce("gc", "u").alias("u"), F.coalesce("hc", "v").alias("v")).filter("u != v")
+    later = components(between)
+    moved = groups.join(later.select(F.col("node").alias("was"), F.col("comp").alias("now")), F.col("comp") == F.col("was"), "left").select("node", F.coalesce("now", "comp").alias("comp"))
+    return written(moved.unionByName(later), "groups")
+
+
+def _texts(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, text) of `nodes` (node, digest, least_id), one copy each."""
+    wanted = nodes.select("node", F.col("digest").alias("near_digest"), F.col("least_id").alias("near_least"))
+    found = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("near_least"))).select("node", "near_digest", "text")
+    # rows may share a doc_id
+    found = with_nodes(found).filter(F.col("near_node") == F.col("near_digest"))
+    return found.groupBy("node").agg(F.first("text").alias("text"))
+
+
+def _beside(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (node, leader) with both texts."""
+    one, two = texts.select(F.col("node").alias("o"), F.col("text").alias("to")), texts.select(F.col("node").alias("l"), F.col("text").alias("tl"))
+    return pairs.join(one, F.col("node") == F.col("o")).join(two, F.col("leader") == F.col("l")).select("node", "leader", "to", "tl")
+
+
+def _mixed(stars: DataFrame, groups: DataFrame) -> DataFrame:
+    """Stars (key, leader, node, n) without their leader, that lie in more than one group: with comp, whether the leader's group is another (open), and the least size."""
+    grouped = stars.join(groups, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    lead = groups.select(F.col("node").alias("g"), F.col("comp").alias("lead"))
+    sizes = grouped.groupBy("key").agg(F.min("comp").alias("c"), F.max("comp").alias("d"), F.min("n").alias("least")).filter("c < d").select("key", "least")
+    found = grouped.join(sizes, "key").join(lead, F.col("leader") == F.col("g"), "left")
+    return found.select("key", "leader", "node", "n", "weight", "comp", "least", (F.col("comp") != F.coalesce("lead", "leader")).alias("open"))
+
+
+def _smaller(mixed: DataFrame, compared: DataFrame) -> DataFrame:
+    """Stars (key, node, n, weight) inside `mixed`, of nodes that may still be linked beside their leader."""
+    rows = mixed.join(compared, ["node", "leader"])
+    # what a linked pair has in common outside the leader is at least this
+    least = F.greatest(F.col("least"), F.ceil(F.col("n") * PERCENT / 100))
+    need = F.greatest(F.lit(1), F.ceil((PERCENT * (F.col("n") + least) - (100 + PERCENT) * F.col("common")) / (100 + PERCENT)))
+    cap = F.floor(F.col("common") * (100 + PERCENT) / PERCENT) - F.col("n")
+    rows = written(rows.select("key", "node", "n", "weight", "comp", "open", "least", cap.alias("cap"), (F.size("lacks") - need + 1).alias("prefix"), "lacks"), "lacking")
+    element = F.xxhash64("key", "e").alias("h")
+    spread = rows.filter("prefix > 0").select("key", "node", F.explode("lacks").alias("e")).select("node", "key", element)
+    often = spread.groupBy("h").agg(F.count("*").alias("k")).filter("k > 1").withColumnRenamed("h", "often")
+    shared = spread.join(often, F.col("h") == F.col("often")).groupBy("key", "node").agg(F.array_sort(F.collect_list(F.struct("k", "h"))).alias("held"))
+    # shingles of one node only come first in the order
+    rest = F.col("prefix") - (F.size("lacks") - F.size("held"))
+    found = rows.join(shared, ["key", "node"]).filter(rest > 0)
+    found = found.select("node", "n", "weight", "comp", F.explode(F.slice("held", F.lit(1), F.least(rest.cast("int"), F.size("held")))).alias("x"))
+    beyond = found.select(F.col("x.h").alias("key"), "node", "n", "weight", "comp")
+    # all in common lies in the leader: one is not in its group, the other small enough for it
+    most = rows.filter("open").groupBy("key").agg(F.max("cap").alias("most"), F.min("n").alias("few")).withColumnRenamed("key", "star")
+    inside = rows.join(most, F.col("key") == F.col("star")).filter((F.col("open") & (F.col("cap") >= F.col("least"))) | ((F.col("n") <= F.col("most")) & (F.col("cap") >= F.col("few"))))
+    # led by the smallest, so that the case can't come again
+    inside = inside.select(F.xxhash64(F.lit("inside"), "key").alias("key"), "node", "n", (-F.col("n")).alias("weight"), "comp")
+    stars = written(beyond.unionByName(inside), "stars")
+    # stars of the same nodes are one
+    same = stars.groupBy("key").agg(F.count("*").alias("k"), F.min("comp").alias("c"), F.max("comp").alias("d"), F.bit_xor(F.xxhash64("node")).alias("s")).filter("c < d")
+    named = same.select(F.col("key").alias("was"), F.xxhash64("k", "s").alias("now"))
+    return stars.join(named, F.col("key") == F.col("was")).groupBy("now", "node").agg(F.first("n").alias("n"), F.max("weight").alias("weight")).withColumnRenamed("now", "key")
+
+
+def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept, near_node and near_group (of the component; null without words) of each row of `docs`."""
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    signed = written(rows.mapInArrow(_sign, "doc_id long, node binary, n_shingles long, bands array<long>, signature binary"), "signatures")
-    nodes = signed.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("least_id"), F.min(F.struct("bands", "signature")).alias("s"))
-    nodes = written(nodes.select("node", "least_id", "s.bands", "s.signature"), "nodes")
-    members = nodes.select("node", F.explode("bands").alias("key"))
-    shared = members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    members = written(members.join(shared, "key"), "members")
-    # texts of the nodes that have a candidate, one copy each
-    wanted = members.select("node").distinct().join(nodes.select("node", "least_id"), "node").select(F.col("node").alias("wanted_node"), F.col("least_id"))
-    noded = with_nodes(rows).filter(F.col("near_node").isNotNull())
-    texts = noded.join(wanted, (F.col("near_node") == F.col("wanted_node")) & F.col("doc_id").eqNullSafe(F.col("least_id")))
-    texts = written(texts.groupBy(F.col("near_node").alias("node")).agg(F.min("text").alias("text")), "near-texts")
-
-    checked: DataFrame | None = None
-    for r in range(STAR_ROUNDS):
-        leader = members.groupBy("key").agg(F.min_by("node", F.xxhash64("node", F.lit(r))).alias("leader"))
-        pairs = members.join(leader, "key").filter("node != leader").select(F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b")).distinct()
-        checked = _more(checked, _checked(pairs, texts, checked))
-    groups = components(_links(checked))
-    # what shares a bucket with another group, with the number of shingles that no other such node has
-    mixed = _mixed(members, groups)
-    rare = _own_shingles(texts.join(mixed.select("node").distinct(), "node", "left_semi"))
-    mixed = written(mixed.join(rare, "node").filter(F.lit(PERCENT) * F.col("n") <= 100 * (F.col("n") - F.col("own"))), "mixed")
-    # in a family of variants the one that differs least is linked with all that have a link
-    leader = mixed.groupBy("key").agg(F.min_by("node", F.struct("own", "node")).alias("leader"), F.min_by("comp", F.struct("own", "node")).alias("leader_comp"))
-    pairs = mixed.join(leader, "key").filter("comp != leader_comp").select(F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b")).distinct()
-    checked = _more(checked, _checked(pairs, texts, checked))
-    groups = components(_links(checked))
-    # all pairs that could still link two groups: neither's own shingles may rule the link out
-    mixed = written(_mixed(mixed.select("key", "node", "n", "own"), groups), "mixed")
-    mixed = mixed.join(nodes.select("node", "bands"), "node")
-    x = mixed.filter("comp != main").select(*[F.col(c).alias(f"x_{c}") for c in ("key", "node", "comp", "n", "own", "bands")])
-    most = F.least(F.col("n") - F.col("own"), F.col("x_n") - F.col("x_own"))
-    apart = (F.col("comp") != F.col("x_comp")) & ((F.col("comp") == F.col("main")) | (F.col("x_node") < F.col("node")))
-    # a pair counts in the first bucket that it shares
-    here = F.array_min(F.array_intersect("bands", "x_bands")) == F.col("key")
-    open_ = (F.col("x_key") == F.col("key")) & apart & (100 * most >= PERCENT * (F.col("n") + F.col("x_n") - most)) & here
-    pairs = x.join(mixed, open_).select(F.greatest("x_node", "node").alias("a"), F.least("x_node", "node").alias("b")).distinct()
-    marks = nodes.select("node", "signature")
-    pairs = pairs.join(marks.select(F.col("node").alias("a"), F.col("signature").alias("sa")), "a").join(marks.select(F.col("node").alias("b"), F.col("signature").alias("sb")), "b")
-    near = pairs.mapInArrow(_alike, "a binary, b binary")
-    checked = _more(checked, _checked(near, texts, checked))
-    groups = components(_links(checked))
-
-    ids = nodes.join(groups, "node", "left").select("node", "least_id", F.coalesce("comp", "node").alias("comp"))
-    least = ids.groupBy("comp").agg(F.min("least_id").alias("component_id"))
-    named = ids.select("node", "comp").join(least, "comp").select(F.col("node").alias("n"), "component_id")
-    out = signed.select("doc_id", "n_shingles", "node").join(named, F.col("node") == F.col("n"), "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.col("node").alias("near_node")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
-
-
-def _mixed(members: DataFrame, groups: DataFrame) -> DataFrame:
-    """Members of buckets that hold more than one group, with their group (comp) and the bucket's largest (main)."""
-    grouped = members.join(groups, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    sizes = grouped.groupBy("key", "comp").agg(F.count("*").alias("k"))
-    main = sizes.groupBy("key").agg(F.count("*").alias("groups"), F.max_by("comp", F.struct("k", "comp")).alias("main")).filter("groups > 1").select("key", "main")
-    return grouped.join(main, "key")
-
-
-def _own_shingles(texts: DataFrame) -> DataFrame:
-    """(node, n, own): distinct shingles, and how many of them no other of these texts has."""
-    spread = texts.mapInArrow(_spread, "node binary, shingle long")
-    alone = spread.groupBy("shingle").agg(F.count("*").alias("k"), F.min("node").alias("node")).filter("k = 1").groupBy("node").agg(F.count("*").alias("own"))
-    sizes = spread.groupBy("node").agg(F.count("*").alias("n"))
-    return sizes.join(alone, "node", "left").select("node", "n", F.coalesce("own", F.lit(0)).alias("own"))
-
-
-def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        nodes, texts = batch.column(0), utf8(batch.column(1))
-        for a, b in pieces(texts):
-            values, owner = shingles(Words(texts[a:b], NOT_SPACE, FOLD))
-            yield pa.RecordBatch.from_arrays([nodes.take(pa.array(owner + a)), pa.array(values.astype(np.int64))], ["node", "shingle"])
-
-
-def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            one, two = (np.frombuffer(b"".join(batch.column(batch.schema.get_field_index(c)).to_pylist()), "<u4").reshape(-1, PLACES) for c in ("sa", "sb"))
-            stay = pa.array((one == two).sum(axis=1) >= LEAST_EQUAL)
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)).filter(stay) for c in ("a", "b")], ["a", "b"])
-
-
-def _checked(pairs: DataFrame, texts: DataFrame, before: DataFrame | None) -> DataFrame:
-    """Pairs that were not checked before, with the verdict."""
-    if before is not None:
-        pairs = pairs.join(before.select("a", "b"), ["a", "b"], "left_anti")
-    one, two = texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
-    return written(pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(_verify, "a binary, b binary, linked boolean"), "checked")
-
-
-def _more(before: DataFrame | None, now: DataFrame) -> DataFrame:
-    return now if before is None else before.unionByName(now)
-
+    signed = written(rows.mapInArrow(_sign(shingle), "doc_id long, digest binary, n_shingles long, bands array<long>"), "signatures")
+    nodes = signed.filter(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("least_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    members = nodes.select("node", "n", F.explode("bands").alias("key"))
+    shared = members.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1").withColumnRenamed("key", "shared")
+    members = written(members.join(shared, F.col("key") == F.col("shared")).select("key", "node", "n", "k"), "members")
+    weights = written(members.groupBy("node").agg(F.sum("k").alias("weight")), "weights")
+    texts = written(_texts(rows, nodes.join(weights, "node", "left_semi")), "near-texts")
+
+    stars, groups, first = members.join(weights, "node").select("key", "node", "n", "weight"), None, True
+    while True:
+        leader = stars.groupBy("key").agg(F.max_by("node", "weight").alias("leader"))
+        led = written(stars.join(leader, "key").filter("node != leader"), "led")
+        pairs = led.select("node", "leader").distinct()
+        links = written(_beside(pairs, texts).mapInArrow(_compared(shingle, False), "node long, leader long, linked boolean").filter("linked").select(F.col("node").alias("u"), F.col("leader").alias("v")), "links")
+        groups = _merged(groups, links)
+        if first:  # buckets of one leader are one star
+            led = led.groupBy("leader", "node").agg(F.first("n").alias("n"), F.first("weight").alias("weight")).withColumn("key", F.col("leader"))
+        mixed = written(_mixed(led, groups), "mixed")
+        if mixed.isEmpty():
+            break
+        compared = _beside(mixed.select("node", "leader").distinct(), texts).mapInArrow(_compared(shingle, True), "node long, leader long, common long, lacks array<long>")
+        stars, first = written(_smaller(mixed, compared), "stars"), False
+        if stars.isEmpty():
+            break
 
-def _links(checked: DataFrame) -> DataFrame:
-    return checked.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    ids = nodes.join(groups, "node", "left").select("digest", "least_id", F.coalesce("comp", "node").alias("comp"))
+    least = ids.groupBy("comp").agg(F.min("least_id").alias("component_id"))
+    named = ids.select("digest", "comp").join(least, "comp").select(F.col("digest").alias("near_node"), F.col("comp").alias("near_group"), "component_id")
+    out = signed.select("doc_id", "n_shingles", "digest").join(named, F.col("digest") == F.col("near_node"), "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.col("digest").alias("near_node"), "near_group").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=4).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 #: All pairs that share a shingle, their exact similarity, and the closure of the links.

@@ -6,6 +6,8 @@ handles a whole Arrow batch, and never makes a Python object for each word.
 
 from __future__ import annotations
 
+import ctypes
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,20 +17,18 @@ U64 = np.uint64
 
 #: Bytes of text that are handled at once (a longer text makes a longer piece).
 CHUNK_BYTES = 1 << 20
-#: Bytes hashed at once; bounds the 8-byte temporaries however long a text is.
-SEGMENT_BYTES = 1 << 20
 
 #: `[^\x20\x09-\x0D]`
 NOT_SPACE = np.ones(256, bool)
 NOT_SPACE[[0x20, *range(0x09, 0x0E)]] = False
 
-_rng = np.random.default_rng(20240607)
-#: A random value for each byte and an odd base: words are polynomials over 2**64.
-BYTE_VALUE = _rng.integers(1, 1 << 63, 256, dtype=np.int64).astype(U64) * U64(2) + U64(1)
-BASE = U64(0x9E3779B97F4A7C15)
-BASE_INVERSE = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-WINDOW_BASE = U64(0xD6E8FEB86659FD93)
-WINDOW_INVERSE = U64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
+#: Two independent families of word hashes: a seed and an odd multiplier each.
+SEEDS = (U64(0x243F6A8885A308D3), U64(0x13198A2E03707344))
+FACTORS = (U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93))
+#: Words of more bytes than this are hashed one by one by the library.
+LONG_WORD = 256
+#: Keeps the first 0 to 8 bytes of a little-endian integer.
+FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -41,25 +41,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class Powers:
-    """base**0 .. base**(n-1) modulo 2**64, grown as needed."""
-
-    def __init__(self, base: np.uint64):
-        self.base, self.values = base, np.ones(1, U64)
-
-    def upto(self, n: int) -> np.ndarray:
-        if len(self.values) < n:
-            size = max(n, 2 * len(self.values))
-            steps = np.full(size, self.base, U64)
-            steps[0] = 1
-            self.values = np.multiply.accumulate(steps)
-        return self.values[:n]
-
-
-POWERS, INVERSES = Powers(BASE), Powers(BASE_INVERSE)
-WINDOW_POWERS, WINDOW_INVERSES = Powers(WINDOW_BASE), Powers(WINDOW_INVERSE)
-
-
 def utf8(column: pa.Array) -> list[bytes | None]:
     """A string column as bytes."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
@@ -105,17 +86,32 @@ class Words:
     def text_of(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.count)), self.count)
 
-    def hashes(self) -> np.ndarray:
-        """64 bits for each word, the same for equal words in any task."""
-        out, i, n = np.empty(len(self), U64), 0, len(self)
-        while i < n:
-            j = max(i + 1, int(np.searchsorted(self.end, self.start[i] + SEGMENT_BYTES, "right")))
-            low, high = int(self.start[i]), int(self.end[j - 1])
-            sums = np.zeros(high - low + 1, U64)
-            np.cumsum(BYTE_VALUE[self.data[low:high]] * POWERS.upto(high - low), out=sums[1:])
-            a, b = self.start[i:j] - low, self.end[i:j] - low
-            out[i:j] = mix((sums[b] - sums[a]) * INVERSES.upto(high - low)[a] + (b - a).astype(U64))
-            i = j
+    def hashes(self, family: int = 0) -> np.ndarray:
+        """64 bits for each word, the same for equal words in any task.
+
+        Eight bytes a step go through a mixer, all words in step; a long word has its BLAKE2 digest.
+        """
+        size, seed, factor = self.end - self.start, SEEDS[family], FACTORS[family]
+        out = mix(size.astype(U64) * factor + seed)
+        padded = self.raw + bytes(8)
+        eight = np.ndarray(len(self.raw), "<u8", padded, strides=(1,))
+        many = np.flatnonzero(size > LONG_WORD)
+        now = np.arange(len(size)) if not len(many) else np.flatnonzero(size <= LONG_WORD)
+        for at in range(0, LONG_WORD, 8):
+            if at:
+                now = now[size[now] > at]
+            if not len(now):
+                break
+            every = len(now) == len(size)
+            start, rest = (self.start, size) if every else (self.start[now], size[now])
+            mixed = mix((out if every else out[now]) ^ ((eight[start + at] & FIRST_BYTES[np.minimum(rest - at, 8)]) * factor + seed))
+            if every:
+                out = mixed
+            else:
+                out[now] = mixed
+        for i in many.tolist():
+            digest = hashlib.blake2b(self.raw[self.start[i] : self.end[i]], digest_size=16).digest()
+            out[i] = np.frombuffer(digest, "<u8")[family]
         return out
 
     def word(self, i: int) -> bytes:
@@ -127,23 +123,52 @@ class Words:
 
 
 class Windows:
-    """Hashes of any run of words, from prefix sums over word hashes."""
+    """Hashes of any run of words, by doubling: a run of 2**k words is named by its two halves.
+
+    Any other run is named by its size and the two runs of a power of two that cover it.
+    """
 
     def __init__(self, hashes: np.ndarray):
-        n = len(hashes)
-        self.sums = np.zeros(n + 1, U64)
-        np.cumsum(hashes * WINDOW_POWERS.upto(n), out=self.sums[1:])
-        self.back = WINDOW_INVERSES.upto(n + 1)
+        self.levels = [hashes]
+
+    def level(self, k: int) -> np.ndarray:
+        while len(self.levels) <= k:
+            half = 1 << (len(self.levels) - 1)
+            below = self.levels[-1]
+            self.levels.append(self._pair(below[:-half], below[half:], len(self.levels)) if len(below) > half else below[:0])
+        return self.levels[k]
+
+    @staticmethod
+    def _pair(first: np.ndarray, second: np.ndarray, salt) -> np.ndarray:
+        return mix((first ^ (first >> U64(29))) * FACTORS[0] + second * FACTORS[1] + (U64(salt) if isinstance(salt, int) else salt))
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.back[start] + (end - start).astype(U64))
+        size = end - start
+        out, power = np.zeros(len(start), U64), np.frexp(np.maximum(size, 1))[1] - 1
+        for k in np.unique(power).tolist():
+            mine = (power == k) & (size > 0)
+            runs, n = self.level(k), size[mine]
+            if len(runs):
+                out[mine] = self._pair(runs[start[mine]], runs[end[mine] - (1 << k)], n.astype(U64) << U64(8))
+        return out
 
     def every(self, size: int) -> np.ndarray:
         """Hash of each window of `size` words, by its first word."""
-        n = len(self.sums) - 1 - size + 1
+        n = len(self.levels[0]) - size + 1
         if n <= 0:
             return np.empty(0, U64)
-        return mix((self.sums[size : size + n] - self.sums[:n]) * self.back[:n] + U64(size))
+        k = size.bit_length() - 1
+        runs = self.level(k)
+        return self._pair(runs[:n], runs[size - (1 << k) : size - (1 << k) + n], size << 8)
+
+
+def tidy() -> None:
+    """Gives freed memory back to the system; for the end of a task, as its worker lives on."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 def carried(batch: pa.RecordBatch, names: list[str], first: int, last: int) -> list[pa.Array]:

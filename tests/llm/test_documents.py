@@ -34,8 +34,8 @@ def sha(data):
     return hashlib.sha256(data).hexdigest()
 
 
-def components(rows, shingles):
-    sets = [shingles(t) for _, t, *_ in rows]
+def components(rows, cut):
+    sets = [cut(t) for _, t, *_ in rows]
     group = list(range(len(rows)))
     for _ in rows:
         for i, a in enumerate(sets):
@@ -45,9 +45,17 @@ def components(rows, shingles):
     return sets, [min(rows[k][0] for k in range(len(rows)) if group[k] == g) for g in group]
 
 
-def four_words(text):
+def shingles(text, size):
     w = (text or "").encode().translate(near.FOLD).split()
-    return {tuple(w[i : i + 4]) for i in range(max(1, len(w) - 3))} if w else set()
+    return {tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set()
+
+
+def four_words(text):
+    return shingles(text, 4)
+
+
+def five_words(text):
+    return shingles(text, 5)
 
 
 def test_near_duplicates(spark, data):
@@ -55,23 +63,65 @@ def test_near_duplicates(spark, data):
     assert found(near.op2_near_dedup(spark, data[0])) == expected([(d, len(s), c if s else d, (c if s else d) == d) for (d, *_), s, c in zip(data[1], sets, least, strict=True)])
 
 
-def test_links_between_variants_are_not_lost(spark, tmp_path):
+@pytest.mark.parametrize("seed", range(6))
+def test_links_between_variants_are_not_lost(spark, tmp_path, seed):
     import random
 
-    rng = random.Random(1)
+    rng = random.Random(seed)
     base = [f"w{i}" for i in range(120)]
     rows = []
-    for i in range(120):
+    for i in range(150):
         w = list(base)
         for _ in range(rng.randint(0, 9)):
-            w[rng.randrange(len(w))] = f"v{rng.randrange(10**6)}"
+            kind, at = rng.random(), rng.randrange(len(w))
+            # some edits are one's own, some are common to several; some lengthen or shorten
+            word = f"v{rng.randrange(10**6)}" if seed % 2 else f"v{rng.randrange(3)}"
+            if kind < 0.5:
+                w[at] = word
+            elif kind < 0.75 and seed > 1:
+                w[at:at] = [word] * rng.randint(1, 3)
+            elif seed > 1:
+                del w[at : at + rng.randint(1, 6)]
+        if seed > 3 and i % 3 == 0:
+            w = w[: rng.randint(60, 119)]
         rows.append((i, " ".join(w), "en", "s"))
     fixture.documents(tmp_path, rows)
     _, least = components(rows, four_words)
-    assert {r["doc_id"]: r["component_id"] for r in near.op2_near_dedup(spark, str(tmp_path)).collect()} == dict(zip(range(120), least, strict=True))
+    assert {r["doc_id"]: r["component_id"] for r in near.op2_near_dedup(spark, str(tmp_path)).collect()} == dict(zip(range(150), least, strict=True))
     assert len(set(least)) > 3
 
 
+def thue_morse(n, one="a", two="b"):
+    out = [one]
+    while len(out) < n:
+        out += [two if x == one else one for x in out]
+    return out
+
+
+@pytest.mark.parametrize("size", [1024, 2048, 4096])
+def test_words_that_collide_as_polynomials(spark, tmp_path, size):
+    one, two = "".join(thue_morse(size)), "".join(thue_morse(size, "b", "a"))
+    long = [" ".join(thue_morse(size, "x", "y")), " ".join(thue_morse(size, "y", "x"))]
+    rest = " ".join(f"r{i}" for i in range(34))
+    rows = list(enumerate([f"{one} p q r", f"{two} p q r", f"{one} {rest}", f"{two} {rest}", *long]))
+    fixture.documents(tmp_path, [(i, t, "en", "s") for i, t in rows])
+    sets, least = components(rows, four_words)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near.op2_near_dedup(spark, str(tmp_path)).collect()} == {d: (len(s), c) for (d, _), s, c in zip(rows, sets, least, strict=True)}
+    where = Counter(tuple(w[i : i + 35]) for w in (t.split() for _, t in rows) for i in range(len(w) - 34))
+    gone = {d: len({k for i in range(len(w) - 34) if where[tuple(w[i : i + 35])] > 1 for k in range(i, i + 35)}) for d, w in ((d, t.split()) for d, t in rows)}
+    assert {r["doc_id"]: r["n_removed"] for r in repeats.op3_repeats(spark, str(tmp_path)).collect()} == gone
+
+
+def test_long_and_short_words_hash_apart():
+    from codeloom.llm.words import Words
+
+    texts = [bytes(97 + (i * 7 + j) % 5 for j in range(n)) for n in (1, 7, 8, 9, 16, 255, 256, 257, 300, 5000) for i in range(3)]
+    texts += [b"\0", b"\0\0", b"\0" * 8, b"\0" * 9]
+    for family in (0, 1):
+        alone = [int(Words([t]).hashes(family)[0]) for t in texts]
+        assert Words(texts).hashes(family).tolist() == alone and len(set(alone)) == len(set(texts))
+
+
 def test_super_minhash_estimates_similarity():
     rng = np.random.default_rng(0)
     errors = []
@@ -87,18 +137,17 @@ def test_super_minhash_estimates_similarity():
     assert max(errors) < 0.17
 
 
-def test_components_of_a_long_chain(spark):
-    names = [bytes([i]) * 16 for i in range(60)]
-    links = spark.createDataFrame([(names[i], names[(i * 7 + 3) % 60]) for i in range(60)], "u binary, v binary").repartition(5)
-    chain = spark.createDataFrame([(names[i + 1], names[i]) for i in range(59)], "u binary, v binary").repartition(7)
+@pytest.mark.parametrize("solo", [1 << 17, 0])
+def test_components_of_a_long_chain(spark, solo):
+    links = spark.createDataFrame([(i, (i * 7 + 3) % 60) for i in range(60)], "u long, v long").repartition(5)
+    chain = spark.createDataFrame([(i + 1, i) for i in range(59)], "u long, v long").repartition(7)
     for df in (links, chain):
-        group = {n: n for n in names}
-        pairs = [(bytes(r[0]), bytes(r[1])) for r in df.collect()]
-        for _ in names:
+        group = list(range(60))
+        pairs = [tuple(r) for r in df.collect()]
+        for _ in group:
             for a, b in pairs:
                 group[a] = group[b] = min(group[a], group[b])
-        got = {bytes(r["node"]): bytes(r["comp"]) for r in near.components(df).collect()}
-        assert got == {a: g for a, g in group.items() if a != g}
+        assert {r["node"]: r["comp"] for r in near.components(df, solo).collect()} == {a: g for a, g in enumerate(group) if a != g}
 
 
 def test_repeats(spark, data):
