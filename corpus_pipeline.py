@@ -6,8 +6,8 @@ columns of `documents` (the last: token files read back). Columns of `docs` that
 are named like an operator's own survive, as rows travel in one struct.
 
 Defined results: an empty table stays empty. Null and empty texts fail the base
-rules and go in the first stage. Rows that repeat the kept doc_id and text of a
-near-duplicate group all stay. A document that the mix takes twice is two rows.
+rules and go in the first stage. Of a near-duplicate group one row stays, also
+where rows are repeated. A document that the mix takes twice is two rows.
 """
 
 from __future__ import annotations
@@ -36,12 +36,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that of the smallest doc_id."""
+    """One document of each group of near-duplicates (of five-word shingles): that of the smallest doc_id, once if its row is repeated."""
     found = near.near_duplicates(docs)
-    stay = found.filter("kept").select(F.col("doc_id").alias("stay_id"), F.col("near_node").alias("stay_node")).distinct()
-    noded = near.with_nodes(_rows(docs, "doc_id", "text"))
-    same = noded["doc_id"].cast("long").eqNullSafe(stay["stay_id"]) & noded["near_node"].eqNullSafe(stay["stay_node"])
-    return noded.join(stay, same, "left_semi").select("row.*")
+    # ids and nodes without a null, so that both joins and groups go by the same keys
+    row_id, row_node = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), F.coalesce(F.col("near_node"), F.lit(b""))
+    stay = found.filter("kept").select(row_id.alias("row_id"), row_node.alias("row_node"), F.coalesce("near_group", row_id).alias("group"))
+    stay = stay.groupBy("group", "row_id").agg(F.min("row_node").alias("row_node")).select("row_id", "row_node").distinct()
+    noded = near.with_nodes(_rows(docs, "doc_id", "text")).select("row", row_id.alias("row_id"), row_node.alias("row_node"))
+    return noded.join(stay, ["row_id", "row_node"], "left_semi").groupBy("row_id", "row_node").agg(F.first("row").alias("row")).select("row.*")
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
