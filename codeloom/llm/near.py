@@ -20,8 +20,8 @@
      any node of the star;
    - all they have in common is in L. Since one of them isn't linked with L, the
      other must then be smaller than L.
-   The smaller stars get leaders of their own, and so on until all lie in one
-   group. No pair of candidates is left undecided, and none is dropped unless a
+   The smaller stars get leaders of their own (and WITNESSES more, which
+   shortens the rounds), and so on until all lie in one group. No pair of candidates is left undecided, and none is dropped unless a
    bound rules its link out; families of variants are not paired with each other.
 
 SuperMinHash (Ertl 2017): instead of independent hash functions, every element
@@ -60,6 +60,8 @@ BANDS = PLACES // ROWS
 PERCENT = 80
 #: So many links or fewer are grouped by union-find in one task.
 SOLO = 1 << 17
+#: Nodes of a smaller star, besides its leader, that all others are verified against.
+WITNESSES = 7
 FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 BLANK = np.uint32(0xFFFFFFFF)
 OWNER = U64(0xA0761D6478BD642F)
@@ -310,7 +312,17 @@ def _smaller(mixed: DataFrame, compared: DataFrame) -> DataFrame:
     # stars of the same nodes are one
     same = stars.groupBy("key").agg(F.count("*").alias("k"), F.min("comp").alias("c"), F.max("comp").alias("d"), F.bit_xor(F.xxhash64("node")).alias("s")).filter("c < d")
     named = same.select(F.col("key").alias("was"), F.xxhash64("k", "s").alias("now"))
-    return stars.join(named, F.col("key") == F.col("was")).groupBy("now", "node").agg(F.first("n").alias("n"), F.max("weight").alias("weight")).withColumnRenamed("now", "key")
+    return stars.join(named, F.col("key") == F.col("was")).groupBy("now", "node").agg(F.first("n").alias("n"), F.max("weight").alias("weight"), F.first("comp").alias("comp")).withColumnRenamed("now", "key")
+
+
+def _led(stars: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The leader of each star with the nodes whose links are open after it and WITNESSES others have been verified; the pairs to verify (of different groups)."""
+    orders = [F.col("weight"), *[F.xxhash64("node", F.lit(i)) for i in range(WITNESSES)]]
+    picked = stars.groupBy("key").agg(*[F.max_by(c, o).alias(f"{c}{i}") for i, o in enumerate(orders) for c in ("node", "comp")])
+    picked = picked.select("key", F.col("node0").alias("leader"), F.array(*[F.struct(F.col(f"node{i}").alias("leader"), F.col(f"comp{i}").alias("lead")) for i in range(len(orders))]).alias("heads"))
+    both = written(stars.join(picked, "key"), "led")
+    pairs = both.select("node", "comp", F.explode("heads").alias("h")).filter("comp != h.lead").select("node", "h.leader").distinct()
+    return both.filter(~F.array_contains("heads.leader", F.col("node"))).select("key", "leader", "node", "n", "weight"), pairs
 
 
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -325,22 +337,24 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     weights = written(members.groupBy("node").agg(F.sum("k").alias("weight")), "weights")
     texts = written(_texts(rows, nodes.join(weights, "node", "left_semi")), "near-texts")
 
-    stars, groups, first = members.join(weights, "node").select("key", "node", "n", "weight"), None, True
+    # a bucket's leader; buckets of one leader are one star
+    leader = members.join(weights, "node").groupBy("key").agg(F.max_by("node", "weight").alias("leader"))
+    led = members.join(leader, "key").filter("node != leader").groupBy("leader", "node").agg(F.first("n").alias("n"))
+    led = written(led.join(weights, "node").withColumn("key", F.col("leader")), "led")
+    pairs, groups = led.select("node", "leader"), None
     while True:
-        leader = stars.groupBy("key").agg(F.max_by("node", "weight").alias("leader"))
-        led = written(stars.join(leader, "key").filter("node != leader"), "led")
-        pairs = led.select("node", "leader").distinct()
-        links = written(_beside(pairs, texts).mapInArrow(_compared(shingle, False), "node long, leader long, linked boolean").filter("linked").select(F.col("node").alias("u"), F.col("leader").alias("v")), "links")
-        groups = _merged(groups, links)
-        if first:  # buckets of one leader are one star
-            led = led.groupBy("leader", "node").agg(F.first("n").alias("n"), F.first("weight").alias("weight")).withColumn("key", F.col("leader"))
+        linked = _beside(pairs, texts).mapInArrow(_compared(shingle, False), "node long, leader long, linked boolean").filter("linked")
+        groups = _merged(groups, written(linked.select(F.col("node").alias("u"), F.col("leader").alias("v")), "links"))
         mixed = written(_mixed(led, groups), "mixed")
         if mixed.isEmpty():
             break
+        # from here on only nodes of these stars count
+        texts = written(texts.join(mixed.select(F.explode(F.array("node", "leader")).alias("node")).distinct(), "node", "left_semi"), "near-texts")
         compared = _beside(mixed.select("node", "leader").distinct(), texts).mapInArrow(_compared(shingle, True), "node long, leader long, common long, lacks array<long>")
-        stars, first = written(_smaller(mixed, compared), "stars"), False
+        stars = written(_smaller(mixed, compared), "stars")
         if stars.isEmpty():
             break
+        led, pairs = _led(stars)
 
     ids = nodes.join(groups, "node", "left").select("digest", "least_id", F.coalesce("comp", "node").alias("comp"))
     least = ids.groupBy("comp").agg(F.min("least_id").alias("component_id"))
