@@ -18,18 +18,21 @@ modified Kneser-Ney smoothing.
    it goes to the driver. A task holds CACHE_BYTES of shards at most: a larger
    model is read shard by shard for each piece of text.
 
+Perplexity is taken over the bytes that are not symbols of markup (SYMBOL): what a
+symbol costs counts, but it doesn't lengthen the text, so that text strewn with
+predictable symbols doesn't pass for easy text.
+
 Verdict: a document is rejected if a base rule fails, or if the logarithm of its
 perplexity under its own language's model lies outside the language's band,
 REACH interquartile ranges beyond the quartiles of all the language's documents
 that pass the base rules. The reach is wider for short texts, whose mean varies
-more: the interquartile range counts as at least SHORT / sqrt(bytes). Both
-constants were chosen on the 3,631 labels of sf0.1 whose documents pass the base
-rules; no label is read when the operator runs.
+more: the interquartile range counts as at least SHORT / sqrt(bytes). No label is
+read when the operator runs.
 
 Defined results: a null or empty text has zeros everywhere, fails the base rules
 and has a null perplexity. A null language is a language of its own. Repeated
-rows are judged alike. Columns of `docs` named in `carry` are carried; the
-operator's own begin with `q_`.
+rows are judged alike. Columns of `docs` named in `carry` are carried, unless
+they are named like one of the operator's own (MADE).
 """
 
 from __future__ import annotations
@@ -46,13 +49,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .shared import table, written
-from .words import CHUNK_BYTES, NOT_SPACE, U64, Windows, Words, mix, pieces, utf8
+from .words import CHUNK_BYTES, NOT_SPACE, U64, Windows, Words, mix, pieces, tidy, utf8
 
 ORDER = 5
 LEAST = 2
 #: Rows of a shard of the model, and bytes of shards that a task holds at once.
 SHARD_ROWS, CACHE_BYTES = 1 << 20, 96 << 20
-REACH, SHORT = 1.5, 2.0
+REACH, SHORT = 3.0, 2.0
+#: So many languages or fewer are joined by a broadcast.
+FEW_LANGS = 1 << 12
 #: Distinct n-grams that a task holds before it hands them on.
 HELD = 1 << 20
 SYMBOL = np.zeros(256, bool)
@@ -90,7 +95,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         langs, texts = batch.column(0).to_pylist(), utf8(batch.column(1))
-        for a, b in pieces(texts, 1 << 22):
+        for a, b in pieces(texts):
             for lang in set(langs[a:b]):
                 mine = [t for t, k in zip(texts[a:b], langs[a:b], strict=True) if k == lang and t]
                 if not mine:
@@ -108,6 +113,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield from out()
                     held = {}
     yield from out()
+    held.clear()
+    tidy()
 
 
 def count(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
@@ -376,6 +383,8 @@ def base_metrics(texts: list[bytes | None]) -> dict[str, np.ndarray]:
     return out
 
 
+#: Columns that score() and judge() make, and those they read by; a caller's columns of these names go.
+MADE = {"q_words", "q_word_chars", "q_symbols", "q_dup_lines", "q_repeat_words", "q_bytes", "q_log_ppl", "q_base_failed", "q_lang", "q_text", "q_low", "q_high", "q_kept"}
 OWN = ["q_words", "q_word_chars", "q_symbols", "q_dup_lines", "q_repeat_words", "q_bytes"]
 
 
@@ -400,18 +409,20 @@ def _score(model: Shards, names: list[str], schema: T.StructType):
                     own = np.array([lang_key(k) for k in langs[a + i : a + j]], U64)
                     total[i:j] = model.sums(own, grams, sizes)
                 made["q_bytes"] = np.fromiter(map(len, filled), np.int64, b - a)
-                log_ppl = pa.array(total / np.maximum(made["q_bytes"], 1), pa.float64(), mask=made["q_bytes"] == 0)
+                log_ppl = pa.array(total / np.maximum(made["q_bytes"] - made["q_symbols"], 1), pa.float64(), mask=made["q_bytes"] == 0)
                 own = [pa.array(made[k], pa.int64()) for k in OWN] + [log_ppl]
                 yield pa.RecordBatch.from_arrays([batch.column(field(n)).slice(a, b - a) for n in names] + own, schema=arrow)
+        _held.clear()  # the worker outlives the task
+        tidy()
 
     return run
 
 
 def score(docs: DataFrame, *, text: str = "text", lang: str = "lang", carry: list[str] | None = None, log2_size: int | None = None, shard_rows: int | None = None, cache_bytes: int | None = None) -> DataFrame:
-    """`docs` (or its columns `carry`) with base metrics, q_log_ppl (bits a byte) and q_base_failed, as a written table."""
+    """`docs` (or its columns `carry`) with base metrics, q_log_ppl (bits a byte that is no symbol) and q_base_failed, as a written table."""
     counts = written(count(docs, text, lang), "ngrams")
     model = sharded(smoothed(counts, log2_size)[0][ORDER], shard_rows, cache_bytes)
-    names = [c for c in (docs.columns if carry is None else carry) if not c.startswith("q_")]
+    names = [c for c in (docs.columns if carry is None else carry) if c not in MADE]
     schema = T.StructType([docs.schema[c] for c in names] + [T.StructField("q_lang", T.StringType())] + [T.StructField(c, T.LongType()) for c in OWN] + [T.StructField("q_log_ppl", T.DoubleType())])
     rows = docs.select(*names, F.col(lang).cast("string").alias("q_lang"), F.col(text).cast("string").alias("q_text"))
     scored = written(rows.mapInArrow(_score(model, [*names, "q_lang"], schema), schema), "scored")
@@ -421,7 +432,9 @@ def score(docs: DataFrame, *, text: str = "text", lang: str = "lang", carry: lis
 def judge(scored: DataFrame, *, reach: float = REACH, short: float = SHORT) -> DataFrame:
     """With q_low, q_high (the band for the document's language and size) and q_kept."""
     quartiles = scored.filter(~F.col("q_base_failed")).groupBy(F.coalesce("q_lang", F.lit("")).alias("band_lang")).agg(F.percentile_approx("q_log_ppl", [0.25, 0.75], F.lit(10000)).alias("q"))
-    bands = quartiles.select("band_lang", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"))
+    bands = written(quartiles.select("band_lang", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3")), "bands")
+    if bands.count() <= FEW_LANGS:  # one row a language: all documents of one stay where they are
+        bands = F.broadcast(bands)
     joined = scored.join(bands, F.coalesce("q_lang", F.lit("")) == F.col("band_lang"), "left")
     spread = reach * F.greatest(F.col("q3") - F.col("q1"), F.lit(float(short)) / F.sqrt(F.greatest("q_bytes", F.lit(1))))
     inside = F.col("q_log_ppl").between(F.col("q1") - spread, F.col("q3") + spread)

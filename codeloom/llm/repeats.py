@@ -19,13 +19,14 @@ window with none (long runs) is its own anchor.
 3. Words in a repeated window are removed.
 
 Counts are summed inside tasks first, and what is found goes back to texts by
-joins that Spark splits where one key is frequent. Texts of equal content share
-one reference, and only one of them hands in its windows. Window hashes have 64
-bits besides the anchor's 64.
+joins that Spark splits where one key is frequent. Only one of several equal texts
+(128 bits) hands in its windows. Windows are equal if two independent hashes of 64
+bits are; the second serves the count alone, as within one text the first does.
 
 Defined results: a null, empty or wordless text has no words and the digest of
 nothing. Copies of a text of WINDOW words or more lose all words, the first
-included. Repeated rows count as copies. Other columns are not used.
+included. Repeated rows count as copies. Other columns are carried by
+remove_repeats(), but for those named like its own (`rep_...`, as it lists).
 """
 
 from __future__ import annotations
@@ -35,11 +36,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .shared import table, written
-from .words import U64, Windows, Words, mix, pieces, utf8
+from .words import U64, Windows, Words, mix, pieces, tidy, utf8
 
 WINDOW, ROUNDS = 35, 3
 RUN, PAIR, OWNER = U64(0x8CB92BA72F3D8DD7), U64(0xC2B2AE3D27D4EB4F), U64(0xA0761D6478BD642F)
@@ -115,15 +117,14 @@ class Anchors:
         self.key[has], self.place[has] = keys[anchor], from_[anchor]
 
 
-def _tally(text: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (text, value), and 1 or 2 for once or more."""
+def _tally(text: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of the first of each distinct (text, value), and 1 or 2 for once or more."""
     key = mix(value ^ (text.astype(U64) * OWNER))
     order = np.argsort(key)
     ordered = key[order]
     first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))) if len(order) else order
     n = np.diff(np.append(first, len(order)))
-    at = order[first]
-    return text[at], value[at], np.minimum(n, 2)
+    return order[first], np.minimum(n, 2)
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,8 +133,10 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b in pieces(texts):
             found = Anchors(Words(texts[a:b]))
             _, at = np.unique(found.place, return_index=True)
-            text, key, n = _tally(found.text[at], found.key[at])
-            yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(refs[a:b][text]), pa.array(n.astype(np.int8))], ["key", "ref", "n"])
+            first, n = _tally(found.text[at], found.key[at])
+            at = at[first]
+            yield pa.RecordBatch.from_arrays([pa.array(found.key[at].astype(np.int64)), pa.array(refs[a:b][found.text[at]]), pa.array(n.astype(np.int8))], ["key", "ref", "n"])
+    tidy()
 
 
 class _Known:
@@ -153,14 +156,19 @@ class _Known:
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(ref, text, copies, keys) -> hashes of the windows whose anchor is among the keys."""
+    """(ref, text, copies, keys) -> both hashes of the windows whose anchor is among the keys."""
     for batch in batches:
         refs, texts, copies = batch.column(0).to_numpy(), utf8(batch.column(1)), batch.column(2).to_numpy()
         for a, b in pieces(texts):
-            found = Anchors(Words(texts[a:b]))
-            stay = _Known(batch.column(3).slice(a, b - a)).has(found.text, found.key)
-            text, value, n = _tally(found.text[stay], found.hash[stay])
-            yield pa.RecordBatch.from_arrays([pa.array(value.astype(np.int64)), pa.array(refs[a:b][text]), pa.array(np.minimum(n * copies[a:b][text], 2).astype(np.int8))], ["h", "ref", "n"])
+            words = Words(texts[a:b])
+            found = Anchors(words)
+            stay = np.flatnonzero(_Known(batch.column(3).slice(a, b - a)).has(found.text, found.key))
+            first, n = _tally(found.text[stay], found.hash[stay])
+            at = stay[first]
+            second = Windows(words.hashes(1)).every(WINDOW)[found.start[at]]
+            text = found.text[at]
+            yield pa.RecordBatch.from_arrays([pa.array(found.hash[at].astype(np.int64)), pa.array(second.astype(np.int64)), pa.array(refs[a:b][text]), pa.array(np.minimum(n * copies[a:b][text], 2).astype(np.int8))], ["h", "h2", "ref", "n"])
+    tidy()
 
 
 def _removed(clean: bool):
@@ -186,41 +194,45 @@ def _removed(clean: bool):
                 made = [batch.column(0).slice(a, b - a), pa.array(words.count, pa.int64()), pa.array(n, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in left])]
                 names = ["row", "rep_words", "rep_removed", "rep_sha256"]
                 yield pa.RecordBatch.from_arrays(made + [pa.array([x.decode() for x in left])] * clean, names + ["rep_text"] * clean)
+        tidy()
 
     return run
 
 
+def _ref(text: str) -> Column:
+    return F.xxhash64(text)
+
+
 def repeated_windows(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(ref, hashes): for each text with any, the hashes of its windows that also start elsewhere. ref: xxhash64 of the text."""
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(text).alias("ref"), F.col(text).alias("text")).filter(F.col("text").isNotNull())
+    """(ref, hashes): for each text with any, the hashes of its windows that also start elsewhere. ref: 64 bits of the text; texts that share one share the list."""
+    rows = docs.select(F.col(key).cast("long").alias("id"), _ref(text).alias("ref"), F.xxhash64(F.lit(1), text).alias("ref2"), F.col(text).alias("text")).filter(F.col("text").isNotNull())
     anchors = written(rows.select("ref", "text").mapInArrow(_anchors, "key long, ref long, n byte"), "anchors")
     twice = written(anchors.groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1").select("key"), "anchors-twice")
     found = anchors.join(twice, "key").groupBy("ref").agg(F.collect_set("key").alias("keys"))
-    copies = rows.groupBy("ref").agg(F.count("*").alias("n"), F.min("id").alias("least"))
-    found = written(found.join(copies, "ref").select("ref", F.least("n", F.lit(2)).cast("int").alias("copies"), "least", "keys"), "anchored")
-    f = found.select(F.col("ref").alias("f"), "copies", "least", "keys")
-    windows = rows.join(f, (F.col("ref") == F.col("f")) & F.col("id").eqNullSafe(F.col("least"))).select("ref", "text", "copies", "keys")
-    windows = written(windows.mapInArrow(_candidates, "h long, ref long, n byte"), "windows")
-    twice = written(windows.groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h"), "windows-twice")
-    return written(windows.join(twice, "h").groupBy("ref").agg(F.collect_set("h").alias("hashes")), "repeats")
+    copies = rows.groupBy("ref", "ref2").agg(F.count("*").alias("n"), F.min("id").alias("least"))
+    found = written(found.join(copies, "ref").select("ref", "ref2", F.least("n", F.lit(2)).cast("int").alias("copies"), "least", "keys"), "anchored")
+    f = found.select(F.col("ref").alias("f"), F.col("ref2").alias("f2"), "copies", "least", "keys")
+    windows = rows.join(f, (F.col("ref") == F.col("f")) & (F.col("ref2") == F.col("f2")) & F.col("id").eqNullSafe(F.col("least"))).select("ref", "text", "copies", "keys")
+    windows = written(windows.mapInArrow(_candidates, "h long, h2 long, ref long, n byte"), "windows")
+    twice = written(windows.groupBy("h", "h2").agg(F.sum("n").alias("n")).filter("n > 1").select("h", "h2"), "windows-twice")
+    return written(windows.join(twice, ["h", "h2"]).groupBy("ref").agg(F.collect_set("h").alias("hashes")), "repeats")
 
 
 def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", clean: bool = True) -> DataFrame:
     """`docs` with rep_words, rep_removed, rep_sha256 and, if `clean`, rep_text (the kept words, joined by one space)."""
-    from pyspark.sql import types as T
-
     hashes = repeated_windows(docs, key=key, text=text).select(F.col("ref").alias("f"), "hashes")
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(text).alias("t"), F.xxhash64(text).alias("ref"))
-    joined = rows.join(hashes, F.col("ref") == F.col("f"), "left").select("row", "t", "hashes")
     own = [T.StructField("rep_words", T.LongType()), T.StructField("rep_removed", T.LongType()), T.StructField("rep_sha256", T.StringType())] + [T.StructField("rep_text", T.StringType())] * clean
-    out = joined.mapInArrow(_removed(clean), T.StructType([T.StructField("row", docs.schema), *own]))
+    names = [c for c in docs.columns if c not in {f.name for f in own}]
+    rows = docs.select(F.struct(*names).alias("row"), F.col(text).alias("t"), _ref(text).alias("ref"))
+    joined = rows.join(hashes, F.col("ref") == F.col("f"), "left").select("row", "t", "hashes")
+    out = joined.mapInArrow(_removed(clean), T.StructType([T.StructField("row", T.StructType([docs.schema[c] for c in names])), *own]))
     return out.select("row.*", *[f.name for f in own])
 
 
 def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     hashes = repeated_windows(docs).select(F.col("ref").alias("f"), "hashes")
-    joined = docs.withColumn("ref", F.xxhash64("text")).join(hashes, F.col("ref") == F.col("f"), "left").select("doc_id", "text", "hashes")
+    joined = docs.withColumn("ref", _ref("text")).join(hashes, F.col("ref") == F.col("f"), "left").select("doc_id", "text", "hashes")
     return joined.mapInArrow(_removed(False), "row long, rep_words long, rep_removed long, rep_sha256 string").select(F.col("row").alias("doc_id"), F.col("rep_words").alias("n_words"), F.col("rep_removed").alias("n_removed"), F.col("rep_sha256").alias("kept_sha256"))
 
 
