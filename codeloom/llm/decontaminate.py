@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .shared import table
-from .words import U64, Windows, Words, pieces, utf8
+from .words import U64, Windows, Words, pieces, tidy, utf8
 
 WINDOW = 13
 #: Characters of benchmark text in one broadcast block.
@@ -119,6 +119,7 @@ def _scan(ngrams, names: list[str], text: str, schema: T.StructType, cut: bool)
                 if cut:
                     made["hit_left"] = pa.array(left, pa.string())
                 yield pa.RecordBatch.from_arrays([made[n] if n in made else batch.column(field(n)).slice(a, b - a) for n in names], schema=arrow)
+        tidy()
 
     return run
 

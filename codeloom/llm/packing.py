@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import table, written
-from .words import pieces, utf8
+from .words import pieces, tidy, utf8
 
 MAGIC, HEADER = b"CLB1", struct.Struct("<4sB3xIIQ")
 BLOCK_IDS, CHUNK_IDS = 1024, 1 << 19
@@ -212,7 +212,7 @@ def _writer(path: str, end_id: int):
 
         for batch in batches:
             texts, keys = utf8(batch.column(1)), batch.column(0).to_pylist()
-            for a, b in pieces(texts, 1 << 22):
+            for a, b in pieces(texts):
                 for key, ids in zip(keys[a:b], encoder.encode([t or b"" for t in texts[a:b]]), strict=True):
                     doc_ids.append(key)
                     held.append(ids + end)
@@ -222,6 +222,7 @@ def _writer(path: str, end_id: int):
                         first, chunk, size, doc_ids, held = first + size, chunk + 1, 0, [], []
         if held:
             yield close()
+        tidy()
 
     return run
 
@@ -234,6 +235,7 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             crc = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(chunk.starts[:-1].tolist(), chunk.starts[1:].tolist(), strict=True)]
             n = len(crc)
             yield pa.RecordBatch.from_arrays([pa.array([shard] * n, pa.int32()), pa.array(chunk.doc_ids, pa.int64()), pa.array(chunk.starts[:-1] + first, pa.int64()), pa.array(chunk.lengths, pa.int64()), pa.array(crc, pa.int64())], ["shard", "doc_id", "begin", "n_tokens", "ids_crc32"])
+    tidy()
 
 
 def write_ids(docs: DataFrame, path: str, *, end_id: int = END_ID) -> DataFrame:
