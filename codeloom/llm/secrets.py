@@ -4,6 +4,7 @@ All rules are compiled into one minimal automaton with search (automaton.py).
 Texts are cut into segments at bytes after which no rule can go on (found from
 the transition array itself), and all segments of a batch run in step: one
 numpy gather a byte position moves every segment's state, for all rules at once.
+Where no such byte comes for long, pieces are cut anywhere and states handed on.
 Where a state accepts, the rule's own automaton finds leftmost longest spans, and
 the rule's condition (lengths) is checked on the span's characters.
 
@@ -26,7 +27,7 @@ from pyspark.sql import types as T
 
 from .automaton import Automaton, compile_rules
 from .shared import table
-from .words import pieces, utf8
+from .words import pieces, tidy, utf8
 
 
 @dataclass(frozen=True)
@@ -70,19 +71,66 @@ class Scanner:
         self.reset, self.first = self.machine.resets(), [m.first_bytes() for m in self.own]
 
     def accepts(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ends (exclusive) of matches, and the rules that match there: one pass over the bytes."""
+        """Ends (exclusive) of matches, and the rules that match there: one pass over the bytes.
+
+        Pieces begin after a reset byte, or, where none comes for long, anywhere: such a
+        piece runs from the start state first, and once more from the state in which the
+        piece before it has ended, if that is another. A state that is not known yet is
+        taken to last through the pieces that follow, so that they run in step too.
+        """
         m: Automaton = self.machine
         cut = np.flatnonzero(self.reset[data]) + 1
         step = np.searchsorted(cut, np.arange(SEGMENT, len(data), SEGMENT))
         starts = np.unique(np.concatenate(([0], cut[step[step < len(cut)]])))
         starts = starts[starts < len(data)]
         sizes = np.diff(np.append(starts, len(data)))
+        # long segments fall into pieces; `after` says that one goes on with what came before
+        parts = np.maximum(1, -(-sizes // (2 * SEGMENT)))
+        first = np.cumsum(parts) - parts
+        place = np.arange(int(parts.sum())) - np.repeat(first, parts)
+        starts = np.repeat(starts, parts) + place * (2 * SEGMENT)
+        sizes = np.minimum(np.repeat(sizes, parts) - place * (2 * SEGMENT), 2 * SEGMENT)
+        after = np.flatnonzero(place > 0)
+        start = m.start * m.n_classes
+        classes = m.byte_class[data].astype(np.int32)
+        ended, ends, rules = self._run(classes, starts, sizes, np.full(len(starts), start, np.int32))
+        if not len(after):
+            return ends, rules
+        # by piece: where it ends from an entry state, and which run that was
+        known: dict[tuple[int, int], tuple[int, int]] = {}
+        runs = [(ends, rules, np.searchsorted(starts, ends, "left") - 1)]
+        entry: dict[int, tuple[int, int]] = {}
+        while True:
+            todo, state = [], start
+            entry.clear()
+            for i in after.tolist():
+                state = ended[i - 1] if place[i] == 1 else state
+                at = (int(ended[i]), 0) if state == start else known.get((i, int(state)))
+                if at is None:
+                    todo.append((i, int(state)))
+                else:
+                    entry[i], state = (int(state), at[1]), at[0]
+            if not todo:
+                break
+            which, states = np.array([t[0] for t in todo]), np.array([t[1] for t in todo], np.int32)
+            later, more, of = self._run(classes, starts[which], sizes[which], states)
+            for (i, state), end in zip(todo, later.tolist(), strict=True):
+                known[i, state] = end, len(runs)
+            runs.append((more, of, np.searchsorted(starts, more, "left") - 1))
+        right = np.zeros(len(starts), np.int64)
+        for i, (_, run) in entry.items():
+            right[i] = run
+        kept = [right[piece] == r for r, (_, _, piece) in enumerate(runs)]
+        return np.concatenate([e[k] for (e, _, _), k in zip(runs, kept, strict=True)]), np.concatenate([r[k] for (_, r, _), k in zip(runs, kept, strict=True)])
+
+    def _run(self, classes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, states: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All pieces in step: the state in which each ends; ends and rules of matches."""
+        m: Automaton = self.machine
         order = np.argsort(-sizes, kind="stable")
-        starts, sizes = starts[order], sizes[order]
-        width, moves, classes = m.n_classes, m.next * m.n_classes, m.byte_class[data].astype(np.int32)
-        state, least = np.full(len(starts), m.start * m.n_classes, np.int32), m.first_accept * m.n_classes
+        starts, sizes, state = starts[order], sizes[order], states[order]
+        width, moves, least = m.n_classes, m.next * m.n_classes, m.first_accept * m.n_classes
         active = np.searchsorted(-sizes, -np.arange(int(sizes[0])), "left") if len(sizes) else np.empty(0, int)
-        ends, rules = [], []
+        ends, rules = [np.empty(0, int)], [np.empty(0, int)]
         for t, n in enumerate(active.tolist()):
             now = moves[state[:n] + classes[starts[:n] + t]]
             state[:n] = now
@@ -90,9 +138,9 @@ class Scanner:
                 hit = np.flatnonzero(now >= least)
                 ends.append(starts[hit] + t + 1)
                 rules.append(m.rules[now[hit] // width])
-        if not ends:
-            return np.empty(0, int), np.empty(0, int)
-        return np.concatenate(ends), np.concatenate(rules)
+        ended = np.empty_like(state)
+        ended[order] = state
+        return ended, np.concatenate(ends), np.concatenate(rules)
 
     def spans(self, texts: list[bytes | None]) -> list[list[tuple[str, int, int]]]:
         """(kind, start, end) in code points of each text, by start, then by rule."""
@@ -152,6 +200,7 @@ def _scan(rules: tuple[Rule, ...], names: list[str], text: str, schema: T.Struct
             for a, b in pieces(texts, CHUNK):
                 found = [[{"kind": k, "start": s, "end": e} for k, s, e in x] for x in scanner.spans(texts[a:b])]
                 yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(n)).slice(a, b - a) for n in names] + [pa.array(found, kind)], schema=arrow)
+        tidy()
 
     return run
 

@@ -5,17 +5,19 @@ its host, all subdomains, and every path that starts with its own. A page's
 possible keys are the suffixes of its host with the prefixes of its path that
 have the length of some rule's path. A blocked Bloom filter (blocks of 512 bits,
 8 bits a key, all in one block) over the rules' keys drops nearly all keys that
-are no rule; those that pass are joined with the rules on the key itself, which
-removes false positives. The longest rule decides.
+are no rule: keys meet their block by a broadcast join. Those that pass are joined
+with the rules on the key itself, which removes false positives. The longest rule
+decides.
 
-The filter is at most MAX_BLOCKS * 64 bytes, whatever the number of rules; with
-more rules it only lets more keys through to the join. Pages meet their rule by
-url, so that the wide table is not exploded; Spark splits a hot url.
+The filter is a table of at most MAX_BLOCKS blocks of 64 bytes, whatever the
+number of rules, so that it may be broadcast; with more rules it only lets more
+keys through to the join. Pages meet their rule by url, so that the wide table is
+not exploded; Spark splits a hot url, and rows without a url stay out of the join.
 
 Defined results: a null url or one without "://" has an empty host and path
 and the default verdict. A rule listed twice with both verdicts blocks. Repeated
-rows are judged alike. Other columns are carried as they are; the operator's own
-begin with `url_`.
+rows are judged alike. Other columns are carried as they are, but for those named
+like the operator's own four (`url_...`).
 """
 
 from __future__ import annotations
@@ -54,28 +56,23 @@ def _block(key: Column, n_blocks: int) -> Column:
 
 
 def bloom(keys: DataFrame, n_keys: int) -> tuple[DataFrame, int]:
-    """One row with the filter's words, and the number of its blocks."""
+    """The filter's blocks (block, words: eight longs), those with a bit, and how many there can be."""
     n_blocks = 1
     while n_blocks * 512 < n_keys * BITS_A_KEY and n_blocks < MAX_BLOCKS:
         n_blocks *= 2
-    bits = keys.select(F.explode(F.array(*[F.struct((_block(F.col("key"), n_blocks) * 8 + F.shiftright(_bit(F.col("key"), i), 6)).alias("at"), F.expr(f"shiftleft(1L, CAST({_bit_sql(i)} & 63 AS INT))").alias("mask")) for i in range(N_BITS)])).alias("b"))
-    words = bits.groupBy(F.col("b.at").alias("at")).agg(F.bit_or("b.mask").alias("word"))
-    every = keys.sparkSession.range(n_blocks * 8).select(F.col("id").alias("n"))
-    filled = every.join(words, F.col("n") == F.col("at"), "left").select("n", F.coalesce("word", F.lit(0)).cast("long").alias("word"))
-    return filled.agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "word"))), lambda x: x["word"]).alias("words")), n_blocks
+    masks = [F.bit_or(F.when(F.col("word") == w, F.col("mask")).otherwise(F.lit(0).cast("long"))).alias(f"w{w}") for w in range(8)]
+    bit = F.explode(F.array(*[_bit(F.col("key"), i) for i in range(N_BITS)])).alias("bit")
+    bits = keys.select(_block(F.col("key"), n_blocks).alias("block"), bit)
+    bits = bits.select("block", F.shiftright("bit", 6).alias("word"), F.expr("shiftleft(1L, CAST(bit & 63 AS INT))").alias("mask"))
+    return bits.groupBy("block").agg(*masks).select("block", F.array(*[f"w{w}" for w in range(8)]).alias("words")), n_blocks
 
 
-def _bit_sql(i: int) -> str:
-    return f"(shiftright(xxhash64({i // 7}, key), {9 * (i % 7)}) & 511)"
-
-
-def _possible(key: Column, words: Column, n_blocks: int) -> Column:
-    """Whether all bits of the key are set."""
+def _possible(key: Column, words: Column) -> Column:
+    """Whether all bits of the key are set in its block."""
     found = F.lit(True)
     for i in range(N_BITS):
         bit = _bit(key, i)
-        word = F.get(words, (_block(key, n_blocks) * 8 + F.shiftright(bit, 6)).cast("int"))
-        found = found & (F.call_function("getbit", word, bit.bitwiseAND(F.lit(63)).cast("int")) == 1)
+        found = found & (F.call_function("getbit", F.get(words, F.shiftright(bit, 6).cast("int")), bit.bitwiseAND(F.lit(63)).cast("int")) == 1)
     return found
 
 
@@ -83,23 +80,27 @@ def judge(pages: DataFrame, rules: DataFrame, *, url: str = "url", default: str
     """`pages` with url_host, url_path, url_rule (or null) and url_verdict, by `rules` (rule, verdict)."""
     listed = rules.filter(F.col("rule").isNotNull()).groupBy("rule").agg(F.max("verdict").alias("verdict"))
     listed = listed.select(F.col("rule").alias("key"), "verdict", F.length("rule").alias("n"), F.length(F.substring_index("rule", "/", 1)).alias("host_n"))
-    # lengths of rules' paths: at most as many as a path can have characters
+    # lengths of rules' paths, at most as many as the longest has characters; one literal
     lengths, n_keys = sorted(r["m"] for r in listed.select((F.col("n") - F.col("host_n")).alias("m")).distinct().collect()), listed.count()
+    own = {"url_host", "url_path", "url_rule", "url_verdict"}
+    kept = [pages[c] for c in pages.columns if c not in own]
+    made = [host(pages[url]).alias("url_host"), path(pages[url]).alias("url_path")]
+    unruled = pages.select(*kept, *made, F.lit(None).cast("string").alias("url_rule"), F.lit(default).alias("url_verdict"))
     if not n_keys:
-        return pages.withColumns({"url_host": host(F.col(url)), "url_path": path(F.col(url)), "url_rule": F.lit(None).cast("string"), "url_verdict": F.lit(default)})
-    row, n_blocks = bloom(listed.select("key"), n_keys)
-    words = row.scalar()
+        return unruled
+    blocks, n_blocks = bloom(listed.select("key"), n_keys)
     urls = pages.select(F.col(url).alias("u")).filter(F.col("u").isNotNull()).distinct().select("u", host(F.col("u")).alias("h"), path(F.col("u")).alias("p"))
     labels = F.split("h", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    prefixes = F.transform(F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length("p")), lambda n: F.substring("p", F.lit(1), n))
+    every = F.split(F.lit(",".join(map(str, lengths))), ",").cast("array<int>")
+    prefixes = F.transform(F.filter(every, lambda n: n <= F.length("p")), lambda n: F.substring("p", F.lit(1), n))
     keys = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, p))))
-    passed = urls.withColumn("keys", F.array_distinct(keys)).withColumn("words", words).select("u", F.explode(F.filter("keys", lambda k: _possible(k, F.col("words"), n_blocks))).alias("key"))
+    tried = urls.select("u", F.explode(F.array_distinct(keys)).alias("key")).withColumn("block", _block(F.col("key"), n_blocks))
+    passed = tried.join(F.broadcast(blocks), "block").filter(_possible(F.col("key"), F.col("words"))).select("u", "key")
     best = passed.join(listed, "key").groupBy("u").agg(F.max_by(F.struct("key", "verdict"), F.struct("n", "host_n")).alias("best"))
-    own = {"url_host", "url_path", "url_rule", "url_verdict"}
-    kept = [pages[c] for c in pages.columns if c not in own]
-    joined = pages.join(best, pages[url] == best["u"], "left")
-    return joined.select(*kept, host(pages[url]).alias("url_host"), path(pages[url]).alias("url_path"), F.col("best.key").alias("url_rule"), F.coalesce(F.col("best.verdict"), F.lit(default)).alias("url_verdict"))
+    judged = pages.filter(F.col(url).isNotNull()).join(best, pages[url] == best["u"], "left")
+    judged = judged.select(*kept, *made, F.col("best.key").alias("url_rule"), F.coalesce(F.col("best.verdict"), F.lit(default)).alias("url_verdict"))
+    return judged.unionByName(unruled.filter(pages[url].isNull()))
 
 
 def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -205,10 +205,28 @@ def test_decontaminate(spark, data):
     docs = spark.read.parquet(f"{data[0]}/documents.parquet")
     in_blocks = decontaminate.decontaminate(docs, spark.read.parquet(f"{data[0]}/benchmark.parquet"), block_chars=200, cut_spans=True)
     assert expected((r["doc_id"], r["hit_words"], r["hit_n"], len(r["hit_items"])) for r in in_blocks.collect()) == expected(x[:4] for x in out)
+    longest = spark.createDataFrame([("all", " ".join(t for t in fixture.texts() if t))], "item_id string, text string")
+    cut, whole = (decontaminate.decontaminate(docs, longest, block_chars=n).select("doc_id", "hit_spans", "hit_items") for n in (300, 1 << 22))
+    assert found(cut) == found(whole)
     for r in in_blocks.collect():
         assert r["text"] is None or len(norm(r["hit_left"])) == r["hit_words"] - r["hit_n"]
 
 
+def test_benchmark_blocks_are_bounded():
+    import random
+
+    rng = random.Random(2)
+    items = [(f"i{k}", " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 6))) for _ in range(4000)).encode()) for k in range(25)]
+    sets = list(decontaminate.blocks(iter(items), 13, 100_000))
+    assert len(sets) >= 5 and all(len(s.buffer) <= 100_100 and s.held() <= decontaminate.HELD_BYTES * len(s.buffer) for s in sets)
+    from codeloom.llm.words import Words
+
+    for item, text in items:
+        words = Words([text], decontaminate.KEEP, decontaminate.FOLD)
+        hit = {i for s in sets for i, size, names in s.hits(words) if item in {s.names[n] for n in names}}
+        assert hit == set(range(len(words) - 12))
+
+
 def test_packing(spark, data):
     from tokenizers import Tokenizer
 
@@ -272,6 +290,25 @@ def test_secrets(spark, tmp_path):
     assert found(secrets.op8_secrets(spark, str(tmp_path))) == expected(out)
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_long_lines_in_pieces(seed, monkeypatch):
+    import random
+    import time
+
+    rng = random.Random(seed)
+    scanner = secrets.Scanner(secrets.BASE + secrets.MORE)
+    some = ["token = abcdefgh ", "deadbeef" * 9, "token" + " " * 300, "= abcdef", "AKIA" + "A1" * 30, "plain words here ", "ghp_" + "a" * 36, "password", ": x", "-----BEGIN " + "A " * 40 + "PRIVATE KEY-----"]
+    texts = ["".join(rng.choice(some) for _ in range(60)).encode() for _ in range(5)]
+    want = scanner.spans(texts)
+    monkeypatch.setattr(secrets, "SEGMENT", rng.choice([3, 7, 20]))
+    assert scanner.spans(texts) == want
+    monkeypatch.setattr(secrets, "SEGMENT", 384)
+    for line in (b"plain words here " * 600_000, b"token" + b" " * 10_000_000, b"deadbeef" * 1_000_000):
+        began = time.perf_counter()
+        scanner.accepts(np.frombuffer(line, np.uint8))
+        assert time.perf_counter() - began < 20
+
+
 def test_pii_base_and_additions(spark, tmp_path):
     good = [f"call +1 (555) 010-{1000 + i} or u{i}@mail.example.org, 10.0.{i}.7 paid by 4{i:014d}" for i in range(80)]
 
