@@ -6,14 +6,17 @@ yield a mark. Rendered as text it stays unambiguous too: a control string in a
 role or text gets one more backslash before it than it had, and reading back
 takes one away.
 
-Segments are encoded where their row is (no shuffle). One shuffle brings a
-conversation's turns together in order; a task then streams them, a batch at a
-time: it splices reserved ids, and derives offsets and loss mask by prefix sums.
+Segments are encoded where their row is (no shuffle), whole: a text is only cut
+between the pieces that the vocabulary's pattern makes of it, and inside one piece
+or white space of over PART characters. One shuffle brings a conversation's turns together in
+order, with their plain texts, by which turns of one number are ordered; a task
+then streams them, a batch at a time: it splices reserved ids, and derives offsets
+and loss mask by prefix sums.
 Memory doesn't depend on the length of a conversation. Its digests need its
 turns in order in one task, however long it is.
 
 Defined results: a null text or role is empty; turns of the same number are
-ordered by role and text; repeated rows are turns of their own; a null conv_id
+ordered by role and text (as UTF-8); repeated rows are turns of their own; a null conv_id
 or turn comes first and counts like any other. Only the role `assistant` counts for the
 loss. An empty table gives no rows. Other columns are not used.
 """
@@ -30,14 +33,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import table
-from .words import utf8
+from .words import tidy, utf8
 
 HEAD_MARK, ROLE_MARK, END_MARK = "### ", ": ", "\n</turn>\n"
 CONTROL = re.compile(r"(\\*)(### |</turn>)")
 ESCAPED = re.compile(r"\\(\\*)(### |</turn>)")
-#: Texts are encoded in parts of so many characters, so that one long word can't take long.
+#: A piece of text of more characters is encoded in parts, as its time grows with the square of its length.
 PART = 4096
-SEGMENTS = "conv_id long, turn long, role binary, text binary, is_loss boolean"
+SEGMENTS = "conv_id long, turn long, role binary, text binary, is_loss boolean, plain_role string, plain_text string"
 ASSEMBLED = "conv_id long, turn long, start long, ids array<int>, loss_mask array<tinyint>"
 
 
@@ -55,16 +58,39 @@ class Codec:
     def __init__(self, path: str, pattern: str):
         import base64
 
+        import regex
         import tiktoken
 
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.encoding = tiktoken.Encoding("chat", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.pattern = regex.compile(pattern)
         self.head = max(ranks.values()) + 1
         self.role, self.end = self.head + 1, self.head + 2
+        #: of an id on its way to the assembler
+        self.kind = "<u2" if self.end < 1 << 16 else "<u4"
+
+    def parts(self, text: str) -> Iterator[str]:
+        """The text in parts of at most PART characters, cut after pieces; only inside a piece or white space of more than that, by PART."""
+        if len(text) <= PART:
+            yield text
+            return
+        begin = at = 0
+        for m in self.pattern.finditer(text):
+            if m.end() - begin > PART:
+                if at > begin:
+                    yield text[begin:at]
+                begin = at
+                while m.end() - begin > PART:
+                    yield text[begin : begin + PART]
+                    begin += PART
+                at = begin
+            if not m[0][-1:].isspace():  # how white space is cut depends on what follows
+                at = m.end()
+        yield text[begin:]
 
     def encode(self, text: str) -> bytes:
-        return b"".join(np.array(self.encoding.encode_ordinary(text[i : i + PART]), "<i4").tobytes() for i in range(0, len(text), PART))
+        return b"".join(np.array(self.encoding.encode_ordinary(x), self.kind).tobytes() for x in self.parts(text))
 
     def decode(self, ids: list[int]) -> str:
         return self.encoding.decode_bytes(ids).decode()
@@ -86,7 +112,8 @@ def _encoder(path: str, pattern: str):
             conv, turn, roles, texts = (batch.column(i) for i in range(4))
             roles, texts = [(x or b"").decode() for x in utf8(roles)], [(x or b"").decode() for x in utf8(texts)]
             kept = {r: code.encode(escape(r)) for r in set(roles)}
-            yield pa.RecordBatch.from_arrays([conv, turn, pa.array([kept[r] for r in roles], pa.binary()), pa.array([code.encode(escape(t)) for t in texts], pa.binary()), pa.array([r == "assistant" for r in roles], pa.bool_())], ["conv_id", "turn", "role", "text", "is_loss"])
+            yield pa.RecordBatch.from_arrays([conv, turn, pa.array([kept[r] for r in roles], pa.binary()), pa.array([code.encode(escape(t)) for t in texts], pa.binary()), pa.array([r == "assistant" for r in roles], pa.bool_()), pa.array(roles, pa.string()), pa.array(texts, pa.string())], ["conv_id", "turn", "role", "text", "is_loss", "plain_role", "plain_text"])
+        tidy()
 
     return run
 
@@ -99,7 +126,7 @@ def _assembler(path: str, pattern: str):
             if not batch.num_rows:
                 continue
             conv, loss = batch.column(0).to_pylist(), np.array(batch.column(4).to_pylist())
-            roles, texts = ([np.frombuffer(x, "<i4") for x in batch.column(i).to_pylist()] for i in (2, 3))
+            roles, texts = ([np.frombuffer(x, code.kind).astype(np.int32) for x in batch.column(i).to_pylist()] for i in (2, 3))
             ids = np.concatenate([x for r, t in zip(roles, texts, strict=True) for x in (head, r, mark, t, end)])
             role_n, text_n = (np.array([len(x) for x in xs], np.int64) for xs in (roles, texts))
             offsets = np.concatenate(([0], np.cumsum(role_n + text_n + 3)))
@@ -160,7 +187,7 @@ def format_turns(turns: DataFrame, path: str, pattern: str) -> DataFrame:
     """Per turn, in order within its conversation: start (ids before it), ids and loss_mask."""
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     encoded = rows.mapInArrow(_encoder(path, pattern), SEGMENTS)
-    return encoded.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(_assembler(path, pattern), ASSEMBLED)
+    return encoded.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "plain_role", "plain_text").drop("plain_role", "plain_text").mapInArrow(_assembler(path, pattern), ASSEMBLED)
 
 
 def read_back(formatted: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -188,9 +215,9 @@ WITH c AS (
 e AS (
   SELECT *, 4 + 2 + 9 + length(regexp_replace(role, '(### |</turn>)', '\\\1', 'g')) + length(regexp_replace(text, '(### |</turn>)', '\\\1', 'g')) AS n FROM c)
 SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
-       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
        CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
-       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
        CAST(sum(n) AS BIGINT) AS formatted_chars
 FROM e GROUP BY conv_id
 """

@@ -1,6 +1,6 @@
 """Operator 7: token ids in fixed-width bit packing.
 
-Each id takes the fewest bits that hold the vocabulary. A chunk file is
+Each id takes the fewest bits that hold the vocabulary. A chunk is
 
     4 bytes "CLB1" | u8 bits | 3 zero bytes | u32 documents | u32 blocks | u64 ids
     documents x (i64 doc_id, u8 has id) | documents x u64 ids | (blocks + 1) x u64 byte offsets | data
@@ -10,9 +10,11 @@ BLOCK_IDS of them, so that it begins on a byte, and the offsets allow one to be
 read without the others. Unpacking is numpy over whole blocks.
 
 Documents are dealt by ranges of doc_id; each task streams its sorted rows into
-chunks of about CHUNK_IDS ids, written by Spark as one binary row each (any file
-system, atomic per task, safe to repeat). The place of a shard in the whole
-sequence is a running sum over one row a shard.
+chunks of about CHUNK_IDS ids, one after the other in a file of its own in the
+shared folder. The table of chunks (file, place) that Spark commits tells which
+files count, so that a task may fail and be repeated. A reader seeks: it takes the
+header and offsets of a chunk, and of its data the blocks that it needs. The place
+of a shard in the whole sequence is a running sum over one row a shard.
 
 Defined results: a null or empty text has only the end id. Null doc_ids come
 first; repeated ids are in a fixed order by text. An empty table has no rows.
@@ -23,8 +25,10 @@ from __future__ import annotations
 import json
 import os
 import struct
+import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +36,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import table, written
+from .shared import own_dir, table, written
 from .words import pieces, tidy, utf8
 
 MAGIC, HEADER = b"CLB1", struct.Struct("<4sB3xIIQ")
-BLOCK_IDS, CHUNK_IDS = 1024, 1 << 19
+#: Ids of a block and, about, of a chunk; chunks that one task reads.
+BLOCK_IDS, CHUNK_IDS, TASK_CHUNKS = 1024, 1 << 19, 32
 END_ID = 2
 #: Words whose ids a worker keeps, at most twice as many, and the longest of them in bytes.
 KEEP_WORDS, KEEP_BYTES = 250_000, 48
@@ -83,20 +88,19 @@ def write_chunk(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray,
 
 
 class Chunk:
-    """A chunk file, read back: whole, by document, or any range of ids."""
+    """A chunk, read back: whole, by document, or any range of ids. read(at, size) gives bytes of it."""
 
-    def __init__(self, raw: bytes):
-        magic, self.bits, n_docs, n_blocks, self.n_ids = HEADER.unpack_from(raw)
+    def __init__(self, read: Callable[[int, int], bytes]):
+        magic, self.bits, n_docs, n_blocks, self.n_ids = HEADER.unpack(read(0, HEADER.size))
         if magic != MAGIC:
-            raise ValueError("not a chunk file")
-        at = HEADER.size
-        keys = np.frombuffer(raw, np.dtype([("id", "<i8"), ("has", "u1")]), n_docs, at)
+            raise ValueError("not a chunk")
+        self.read, key = read, np.dtype([("id", "<i8"), ("has", "u1")])
+        rest = read(HEADER.size, n_docs * (key.itemsize + 8) + 8 * (n_blocks + 1))
+        keys = np.frombuffer(rest, key, n_docs)
         self.doc_ids = [int(k) if has else None for k, has in zip(keys["id"], keys["has"], strict=True)]
-        at += keys.nbytes
-        self.lengths = np.frombuffer(raw, "<u8", n_docs, at).astype(np.int64)
-        at += 8 * n_docs
-        self.offsets = np.frombuffer(raw, "<u8", n_blocks + 1, at).astype(np.int64)
-        self.data = memoryview(raw)[at + 8 * (n_blocks + 1) :]
+        self.lengths = np.frombuffer(rest, "<u8", n_docs, keys.nbytes).astype(np.int64)
+        self.offsets = np.frombuffer(rest, "<u8", n_blocks + 1, keys.nbytes + 8 * n_docs).astype(np.int64)
+        self.data = HEADER.size + len(rest)
         self.starts = np.concatenate(([0], np.cumsum(self.lengths)))
 
     def ids(self, first: int = 0, last: int | None = None) -> np.ndarray:
@@ -106,12 +110,23 @@ class Chunk:
             return np.empty(0, np.uint32)
         a, b = first // BLOCK_IDS, -(-last // BLOCK_IDS)
         n = min(b * BLOCK_IDS, self.n_ids) - a * BLOCK_IDS
-        return unpack(self.data[self.offsets[a] : self.offsets[b]], n, self.bits)[first - a * BLOCK_IDS : last - a * BLOCK_IDS]
+        low, high = int(self.offsets[a]), int(self.offsets[b])
+        return unpack(self.read(self.data + low, high - low), n, self.bits)[first - a * BLOCK_IDS : last - a * BLOCK_IDS]
 
     def document(self, i: int) -> np.ndarray:
         return self.ids(int(self.starts[i]), int(self.starts[i + 1]))
 
 
+@contextmanager
+def opened(file: str) -> Iterator[Callable[[int], Chunk]]:
+    """A token file: gives the chunk at a place."""
+    from pyarrow.fs import FileSystem
+
+    system, path = FileSystem.from_uri(file)
+    with system.open_input_file(path) as held:
+        yield lambda at: Chunk(lambda offset, size: held.read_at(size, at + offset))
+
+
 class Recent(dict):
     """Values by key, made where missing. What was not asked for during one whole filling goes."""
 
@@ -194,21 +209,38 @@ class Encoder:
 _encoders: dict[str, Encoder] = {}
 
 
-def _writer(path: str, end_id: int):
+CHUNKS = "shard int, chunk int, first long, n_ids long, file string, at long, size long"
+
+
+def _writer(path: str, end_id: int, folder: str):
+    names = [c.split()[0] for c in CHUNKS.split(", ")]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow.fs import FileSystem
+
         if path not in _encoders:
             _encoders[path] = Encoder(path)
         encoder = _encoders[path]
         bits, end = bits_for(encoder.tokenizer.get_vocab_size(True)), np.array([end_id], "<u4").tobytes()
-        shard, chunk, first = TaskContext.get().partitionId(), 0, 0
+        shard, file = TaskContext.get().partitionId(), f"{folder}/{uuid.uuid4().hex}.bin"
+        system, where = FileSystem.from_uri(file)
+        rows: list[tuple] = []
         doc_ids: list[int | None] = []
         held: list[bytes] = []
-        size = 0
+        size = first = at = 0
+        out = None
 
-        def close() -> pa.RecordBatch:
+        def close() -> None:
+            nonlocal out, size, first, at
+            if out is None:
+                out = system.open_output_stream(where)
             lengths = [len(x) // 4 for x in held]
             raw = write_chunk(doc_ids, lengths, np.frombuffer(b"".join(held), "<u4"), bits)
-            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([chunk], pa.int32()), pa.array([first], pa.int64()), pa.array([sum(lengths)], pa.int64()), pa.array([raw], pa.binary())], ["shard", "chunk", "first", "n_ids", "file"])
+            out.write(raw)
+            rows.append((shard, len(rows), first, size, file, at, len(raw)))
+            first, at, size = first + size, at + len(raw), 0
+            doc_ids.clear()
+            held.clear()
 
         for batch in batches:
             texts, keys = utf8(batch.column(1)), batch.column(0).to_pylist()
@@ -218,37 +250,45 @@ def _writer(path: str, end_id: int):
                     held.append(ids + end)
                     size += len(ids) // 4 + 1
                     if size >= CHUNK_IDS:
-                        yield close()
-                        first, chunk, size, doc_ids, held = first + size, chunk + 1, 0, [], []
+                        close()
         if held:
-            yield close()
+            close()
         tidy()
+        if out is not None:
+            out.close()  # all of it is there before the chunks are told
+            columns = zip(*rows, strict=True)
+            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
     return run
 
 
 def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for shard, first, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-            chunk = Chunk(raw.as_buffer().to_pybytes())
-            data = memoryview(chunk.ids().astype("<u4").tobytes())
+        for shard, first, file, at in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            with opened(file) as chunk_at:
+                chunk = chunk_at(at)
+                data = memoryview(chunk.ids().astype("<u4").tobytes())
             crc = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(chunk.starts[:-1].tolist(), chunk.starts[1:].tolist(), strict=True)]
             n = len(crc)
             yield pa.RecordBatch.from_arrays([pa.array([shard] * n, pa.int32()), pa.array(chunk.doc_ids, pa.int64()), pa.array(chunk.starts[:-1] + first, pa.int64()), pa.array(chunk.lengths, pa.int64()), pa.array(crc, pa.int64())], ["shard", "doc_id", "begin", "n_tokens", "ids_crc32"])
     tidy()
 
 
-def write_ids(docs: DataFrame, path: str, *, end_id: int = END_ID) -> DataFrame:
-    """Chunk files of all `docs` (doc_id, text) in ascending doc_id order, as a written table (shard, chunk, first, n_ids, file)."""
+def write_ids(docs: DataFrame, path: str, *, end_id: int = END_ID, folder: str | None = None) -> DataFrame:
+    """Token files of all `docs` (doc_id, text) in ascending doc_id order in `folder` (by default one of the session's), and the written table of their chunks (CHUNKS)."""
+    folder = own_dir(docs.sparkSession, "ids") if folder is None else folder
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    return written(dealt.mapInArrow(_writer(path, end_id), "shard int, chunk int, first long, n_ids long, file binary"), "ids")
+    return written(dealt.mapInArrow(_writer(path, end_id, folder), CHUNKS), "chunks")
 
 
-def read_ids(files: DataFrame) -> DataFrame:
+def read_ids(chunks: DataFrame) -> DataFrame:
     """doc_id, start (over all shards), n_tokens and ids_crc32, from the files."""
-    shards = files.groupBy("shard").agg(F.sum("n_ids").alias("n"))
+    shards = chunks.groupBy("shard").agg(F.sum("n_ids").alias("n"))
     before = shards.select(F.col("shard").alias("s"), F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    read = files.select("shard", "first", "file").mapInArrow(_reader, "shard int, doc_id long, begin long, n_tokens long, ids_crc32 long")
+    # the table is small, what it names is not: some chunks a task, on all cores at least
+    tasks = max(1, chunks.count() // TASK_CHUNKS, chunks.sparkSession.sparkContext.defaultParallelism)
+    read = chunks.select("shard", "first", "file", "at").repartition(tasks, "file", "at").mapInArrow(_reader, "shard int, doc_id long, begin long, n_tokens long, ids_crc32 long")
     return read.join(before, F.col("shard") == F.col("s")).select("doc_id", (F.col("before") + F.col("begin")).alias("start"), "n_tokens", "ids_crc32")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,31 +10,39 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; where unset (tests), an own folder."""
+    """spark.checkpoint.dir of the session; where unset, an own folder if all runs on this machine (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         found = spark.conf.get("codeloom.own.checkpoint.dir", None)
-        if not found:
-            found = tempfile.mkdtemp(prefix="codeloom-")
-            spark.conf.set("codeloom.own.checkpoint.dir", found)
-            spark.sparkContext.setCheckpointDir(found)
+    if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = tempfile.mkdtemp(prefix="codeloom-")
+        spark.conf.set("codeloom.own.checkpoint.dir", found)
+        spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+def own_dir(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, which goes when the session's file system closes."""
+    path = f"{shared_dir(spark)}/codeloom/{name}-{uuid.uuid4().hex}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.mkdirs(where)
+    system.deleteOnExit(where)
+    return path
+
+
 def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """The frame, written as Parquet in the shared folder (in folders of column `by`) and read back.
 
     It cuts the lineage: a lost executor costs the tasks of one later stage,
     not the stages before. Spark's commit protocol keeps half-written or
-    repeated tasks out. The folder goes when the session's file system closes.
+    repeated tasks out.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/codeloom/{name}-{uuid.uuid4().hex}"
+    path = f"{own_dir(df.sparkSession, name)}/table"
     df.write.parquet(path, partitionBy=by)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

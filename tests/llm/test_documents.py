@@ -242,6 +242,25 @@ def test_packing(spark, data):
     assert [r["doc_id"] for r in got] == sorted(r["doc_id"] for r in got) and sum(r["n_tokens"] for r in got) == at
 
 
+def test_token_files_are_read_by_seeking(spark, data, monkeypatch, tmp_path):
+    import os
+
+    chunks = packing.write_ids(spark.read.parquet(f"{data[0]}/documents.parquet"), packing.tokenizer_path(), folder=str(tmp_path)).collect()
+    encoder = packing.Encoder(packing.tokenizer_path())
+    texts = Counter((d, t or "") for d, t, *_ in data[1])
+    seen = Counter()
+    for r in chunks:
+        assert r["file"].startswith(str(tmp_path)) and os.path.getsize(r["file"]) >= r["at"] + r["size"]
+        with packing.opened(r["file"]) as at:
+            chunk = at(r["at"])
+            for i, d in enumerate(chunk.doc_ids):
+                ids = chunk.document(i).tolist()
+                own = {t for k, t in texts if k == d and encoder.tokenizer.encode(t, add_special_tokens=False).ids + [2] == ids}
+                assert own
+                seen[d] += 1
+    assert seen == Counter(d for d, *_ in data[1])
+
+
 @pytest.mark.parametrize("bits", [1, 3, 8, 11, 15, 16, 17, 20, 31])
 def test_bit_packing_round_trip(bits):
     rng = np.random.default_rng(bits)
@@ -250,9 +269,13 @@ def test_bit_packing_round_trip(bits):
         raw = packing.pack(ids, bits)
         assert len(raw) <= -(-n * bits // 8) and (packing.unpack(raw, n, bits) == ids).all()
     lengths = [5, 0, 3000, 1995]
-    chunk = packing.Chunk(packing.write_chunk([3, None, 9, 9], lengths, ids[:5000], bits))
+    raw = packing.write_chunk([3, None, 9, 9], lengths, ids[:5000], bits)
+    asked = []
+    chunk = packing.Chunk(lambda at, size: asked.append(size) or raw[at : at + size])
     assert chunk.doc_ids == [3, None, 9, 9] and chunk.bits == bits
     assert (chunk.ids() == ids[:5000]).all() and (chunk.ids(1000, 3100) == ids[1000:3100]).all() and (chunk.document(2) == ids[5:3005]).all()
+    asked.clear()
+    assert (chunk.ids(2100, 2110) == ids[2100:2110]).all() and asked == [-(-1024 * bits // 8)]
     assert packing.bits_for(49408) == 16 and packing.bits_for(1 << 16) == 16 and packing.bits_for((1 << 16) + 1) == 17
 
 

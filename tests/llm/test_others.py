@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
@@ -47,7 +48,7 @@ def test_many_rules(spark):
     assert {r["url_verdict"] for r in none.collect()} == {"block"}
 
 
-TURNS = [(1, 0, "user", "hi"), (1, 1, "assistant", "### x: </turn> \\</turn> \\\\### "), (1, 2, "user", None), (1, 3, "assistant", ""), (2, 5, None, "###"), (2, 1, "assistant", "é😀 " * 50), (2, 1, "assistant", "é😀 " * 50), (2, 1, "Assistant", "no"), (3, 0, "a: ### b", "w" * 9000), (None, None, "assistant", "</turn>"), (None, None, "user", "</tur"), (4, 0, "assistant", "<|endoftext|>")]
+TURNS = [(1, 0, "user", "hi"), (1, 1, "assistant", "### x: </turn> \\</turn> \\\\### "), (1, 2, "user", None), (1, 3, "assistant", ""), (2, 5, None, "###"), (2, 1, "assistant", "é😀 " * 50), (2, 1, "assistant", "é😀 " * 50), (2, 1, "Assistant", "no"), (3, 0, "a: ### b", "w" * 9000), (None, None, "assistant", "</turn>"), (None, None, "user", "</tur"), (4, 0, "assistant", "<|endoftext|>"), (5, 0, "user", "zebra"), (5, 0, "user", "apple"), (5, 0, "user", "b"), (5, None, "user", "last"), (5, -1, "x", "é"), (5, -1, "x", "z"), (5, -1, "x", "😀"), (5, -1, "x", "\uffee")]
 
 
 def test_chat(spark, tmp_path):
@@ -56,7 +57,7 @@ def test_chat(spark, tmp_path):
     rows = [*TURNS, (-7, 0, "user", chat.PLANTED), (-7, 1, "assistant", chat.PLANTED)]
     out = []
     for c in {r[0] for r in rows}:
-        own = sorted(((t is not None, t or 0, r or "", x or "") for k, t, r, x in rows if k == c))
+        own = sorted(((t is not None, t or 0, r or "", x or "") for k, t, r, x in rows if k == c), key=lambda y: (*y[:2], y[2].encode(), y[3].encode()))
         loss = "".join(x for *_, r, x in own if r == "assistant")
         out.append((c, len(own), hashlib.sha256("".join(f"{r}\n{x}\n" for *_, r, x in own).encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), sum(15 + len(chat.escape(r)) + len(chat.escape(x)) for *_, r, x in own)))
     assert found(chat.op6_chat(spark, str(tmp_path))) == expected(out)
@@ -76,6 +77,34 @@ def test_chat_offsets_and_masks(spark):
         assert not {code.head, code.role, code.end} & set(masked)
 
 
+def test_long_texts_encode_like_whole_ones(monkeypatch):
+    import public_tokenizers
+
+    code = chat.Codec(str(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
+    rng = random.Random(4)
+    for _ in range(300):
+        text = "".join(rng.choice(["a", " ", "  ", "\n", "\n\n ", "word", "don't", "é", "12345", "!!", "\t", "😀", "x"]) for _ in range(300))
+        monkeypatch.setattr(chat, "PART", rng.randint(60, 120))
+        parts = list(code.parts(text))
+        assert "".join(parts) == text and max(map(len, parts)) <= chat.PART
+        assert np.frombuffer(code.encode(text), code.kind).tolist() == code.encoding.encode_ordinary(text)
+    assert list(code.parts("x" * 200)) == ["x" * min(chat.PART, 200 - i) for i in range(0, 200, chat.PART)]
+
+
+def test_a_hundred_thousand_rules(spark):
+    rng = random.Random(7)
+    rules = {f"h{i}.c{i % 7}/" + ["", "a/", "a/b/", "aa"][i % 4]: ["allow", "block"][i % 2] for i in range(100_000)}
+    pages = [(i, f"http://{rng.choice(['', 'www.', 'x.y.'])}h{rng.randrange(120_000)}.c{rng.randrange(7)}/{rng.choice(['', 'a', 'a/', 'a/b/c', 'aab'])}") for i in range(3000)]
+    listed = spark.range(100_000).selectExpr("concat('h', id, '.c', id % 7, '/', element_at(array('', 'a/', 'a/b/', 'aa'), cast(id % 4 as int) + 1)) AS rule", "element_at(array('allow', 'block'), cast(id % 2 as int) + 1) AS verdict")
+    got = {r["page_id"]: (r["url_rule"], r["url_verdict"]) for r in urls.judge(spark.createDataFrame(pages, "page_id long, url string"), listed).collect()}
+    assert sum(v[0] is not None for v in got.values()) > 100
+    for i, u in pages:
+        h, _, p = u[7:].partition("/")
+        keys = [f"{h.split('.', k)[-1]}/{p[:n]}" for k in range(h.count(".") + 1) for n in range(len(p) + 1)]
+        best = max((k for k in keys if k in rules), key=len, default=None)
+        assert got[i] == (best, rules.get(best, "allow"))
+
+
 def test_escape_is_reversible():
     rng = random.Random(6)
     for _ in range(3000):
