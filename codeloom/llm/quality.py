@@ -44,22 +44,24 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .shared import table, written
-from .words import CHUNK_BYTES, NOT_SPACE, U64, Windows, Words, mix, pieces, tidy, utf8
+from .words import NOT_SPACE, U64, Windows, Words, mix, pieces, tidy, utf8
 
 ORDER = 5
 LEAST = 2
 #: Rows of a shard of the model, and bytes of shards that a task holds at once.
 SHARD_ROWS, CACHE_BYTES = 1 << 20, 96 << 20
 REACH, SHORT = 3.0, 2.0
+#: Steps of a bit on which quartiles are found, and bits above which scores count as one.
+GRID, MOST = 1 << 12, 64
 #: So many languages or fewer are joined by a broadcast.
 FEW_LANGS = 1 << 12
 #: Distinct n-grams that a task holds before it hands them on.
-HELD = 1 << 20
+HELD = 1 << 18
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
 #: Before each text: bytes that stand for its beginning.
@@ -399,7 +401,7 @@ def _score(model: Shards, names: list[str], schema: T.StructType):
         for batch in batches:
             field = batch.schema.get_field_index
             texts, langs = utf8(batch.column(field("q_text"))), batch.column(field("q_lang")).to_pylist()
-            for a, b in pieces(texts, max(limit, CHUNK_BYTES)):
+            for a, b in pieces(texts, limit):
                 parts = [base_metrics(texts[a + i : a + j]) for i, j in pieces(texts[a:b])]
                 made = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
                 filled = [t or b"" for t in texts[a:b]]
@@ -409,7 +411,8 @@ def _score(model: Shards, names: list[str], schema: T.StructType):
                     own = np.array([lang_key(k) for k in langs[a + i : a + j]], U64)
                     total[i:j] = model.sums(own, grams, sizes)
                 made["q_bytes"] = np.fromiter(map(len, filled), np.int64, b - a)
-                log_ppl = pa.array(total / np.maximum(made["q_bytes"] - made["q_symbols"], 1), pa.float64(), mask=made["q_bytes"] == 0)
+                # rounded, as the model's last bits depend on the order of sums
+                log_ppl = pa.array(np.round(total / np.maximum(made["q_bytes"] - made["q_symbols"], 1), 5), pa.float64(), mask=made["q_bytes"] == 0)
                 own = [pa.array(made[k], pa.int64()) for k in OWN] + [log_ppl]
                 yield pa.RecordBatch.from_arrays([batch.column(field(n)).slice(a, b - a) for n in names] + own, schema=arrow)
         _held.clear()  # the worker outlives the task
@@ -431,8 +434,14 @@ def score(docs: DataFrame, *, text: str = "text", lang: str = "lang", carry: lis
 
 def judge(scored: DataFrame, *, reach: float = REACH, short: float = SHORT) -> DataFrame:
     """With q_low, q_high (the band for the document's language and size) and q_kept."""
-    quartiles = scored.filter(~F.col("q_base_failed")).groupBy(F.coalesce("q_lang", F.lit("")).alias("band_lang")).agg(F.percentile_approx("q_log_ppl", [0.25, 0.75], F.lit(10000)).alias("q"))
-    bands = written(quartiles.select("band_lang", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3")), "bands")
+    lang = F.coalesce("q_lang", F.lit("")).alias("band_lang")
+    # exact on a grid, so that the bands don't depend on the order of rows; at most GRID * MOST rows a language
+    steps = F.least(F.floor(F.col("q_log_ppl") * GRID), F.lit(GRID * MOST)).alias("step")
+    counted = scored.filter(~F.col("q_base_failed")).groupBy(lang, steps).agg(F.count("*").alias("n"))
+    running = Window.partitionBy("band_lang").orderBy("step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = counted.withColumn("upto", F.sum("n").over(running)).withColumn("all", F.sum("n").over(Window.partitionBy("band_lang")))
+    quartiles = [(F.min(F.when(4 * F.col("upto") >= k * F.col("all"), F.col("step"))) / F.lit(float(GRID))).alias(name) for k, name in ((1, "q1"), (3, "q3"))]
+    bands = written(upto.groupBy("band_lang").agg(*quartiles), "bands")
     if bands.count() <= FEW_LANGS:  # one row a language: all documents of one stay where they are
         bands = F.broadcast(bands)
     joined = scored.join(bands, F.coalesce("q_lang", F.lit("")) == F.col("band_lang"), "left")
