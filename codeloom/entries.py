@@ -48,11 +48,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def _entries(spark: SparkSession, sf_dir: str, path: str, body: str) -> DataFrame:
+def _entries(spark: SparkSession, sf_dir: str, path: str, body: str, where: str = "true") -> DataFrame:
     """Part rows as file entries. The number of files is asked for once."""
     part = _table(spark, sf_dir, "part")
     body = body.replace("(SELECT count(*) FROM part)", str(part.count()))
-    rows = part.select(F.expr(path).alias("relative_path"), F.expr(body).alias("source"))
+    rows = part.filter(where).select(F.expr(path).alias("relative_path"), F.expr(body).alias("source"))
     return rows.select("relative_path", F.concat(F.lit(ROOT + "/"), "relative_path").alias("path"), F.octet_length("source").cast("long").alias("size_bytes"), F.lit(0).cast("long").alias("mtime_seconds"), F.col("source").cast("binary").alias("content"))
 
 
@@ -144,11 +144,17 @@ FROM (SELECT doc_id, l, unnest(range(1, CASE WHEN l[len(l)] = '' THEN len(l) ELS
 #: Lines of the virtual files, in SQL.
 _LINES = """l AS (SELECT path, language, n, CASE WHEN n < len(s) THEN regexp_replace(s[n], '\\r$', '') ELSE s[n] END AS line
   FROM (SELECT path, language, s, unnest(range(1, len(s) + 1)) AS n FROM (SELECT path, language, string_split(body, chr(10)) AS s FROM v)))"""
-_RUST = f"WITH v AS (SELECT {RUST_PATH} AS path, 'rust' AS language, {RUST_TEXT} AS body FROM part), {_LINES}"
+_ID = "[A-Za-z_][A-Za-z0-9_]*"
+_IMPL = f"^\\s*impl(?:\\s+[^ ]+)?\\s+({_ID})"
+#: Lines inside an impl block: an automaton that walks each file line by line.
+_INSIDE = f"""walk AS (SELECT path, 0 AS n, CAST(0 AS BIGINT) AS depth, false AS is_open, false AS was_open FROM v
+  UNION ALL SELECT path, n, CASE WHEN header OR (is_open AND moved > 0) THEN moved ELSE 0 END, header OR (is_open AND moved > 0), is_open
+  FROM (SELECT l.path, l.n, w.is_open, regexp_matches(l.line, '{_IMPL}') AS header, w.depth + length(replace(l.line, '}}', '')) - length(replace(l.line, '{{', '')) AS moved FROM walk w JOIN l ON l.path = w.path AND l.n = w.n + 1)),
+inside AS (SELECT path, n FROM walk WHERE was_open)"""
+_RUST = f"WITH RECURSIVE v AS (SELECT {RUST_PATH} AS path, 'rust' AS language, {RUST_TEXT} AS body FROM part), {_LINES}, {_INSIDE}"
 _MIXED = f"WITH v AS (SELECT {MIXED_PATH} AS path, {LANGUAGE} AS language, {MIXED_TEXT} AS body FROM part WHERE p_partkey % 7 <> 6), {_LINES}"
 _GOOD = "path NOT IN (SELECT path FROM v WHERE contains(body, '<<parse-error>>') AND language IN ('rust', 'python', 'javascript', 'typescript'))"
 _FILE = _hash("'project'", "'scope'", "path")
-_ID = "[A-Za-z_][A-Za-z0-9_]*"
 
 
 def _found(language: str, pattern: str, kind: str, group: int = 1, more: str = "") -> str:
@@ -176,7 +182,6 @@ def rust_symbols(spark, sf_dir):
     return _symbols(_rust(spark, sf_dir)[1].symbols)
 
 
-#: Inside an impl block lie the lines after its header up to the one that closes it.
 _FN = "(?:pub\\s+)?fn\\s+(" + _ID + ")"
 _RUST_SYMBOLS = [
     _found("'rust'", f"mod\\s+({_ID})\\s*;", "Module"),
@@ -185,9 +190,8 @@ _RUST_SYMBOLS = [
     _found("'rust'", f"(?:pub\\s+)?trait\\s+({_ID})", "Trait"),
     _found("'rust'", f"impl(?:\\s+[^ ]+)?\\s+({_ID})", "Type"),
 ]
-#: After `impl A for B {}` in one line, the next line still counts as inside.
-_INSIDE = "(n = 8 OR (n = 12 AND path IN (SELECT path FROM l WHERE n = 11 AND line = 'impl A for B {}')))"
-RUST_SYMBOLS = _symbols_sql(_RUST, [*_RUST_SYMBOLS, _found("'rust'", _FN, "Method", more=f"AND {_INSIDE}"), _found("'rust'", _FN, "Function", more=f"AND NOT {_INSIDE}")])
+_METHODS = [_found("'rust'", _FN, "Method", more="AND (path, n) IN (SELECT path, n FROM inside)"), _found("'rust'", _FN, "Function", more="AND (path, n) NOT IN (SELECT path, n FROM inside)")]
+RUST_SYMBOLS = _symbols_sql(_RUST, [*_RUST_SYMBOLS, *_METHODS])
 
 
 def rust_imports(spark, sf_dir):
@@ -201,7 +205,7 @@ def impl_scope_methods(spark, sf_dir):
     return _rust(spark, sf_dir)[1].symbols.filter("kind IN ('Method', 'Function')").groupBy("file_path").agg(F.count_if(F.col("kind") == "Method").alias("methods"), F.count_if(F.col("kind") == "Function").alias("functions"))
 
 
-IMPL_SCOPE_METHODS = f"SELECT {RUST_PATH} AS file_path, CASE WHEN p_partkey % 3 = 0 THEN 2 ELSE 1 END::BIGINT AS methods, CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 2 END::BIGINT AS functions FROM part"
+IMPL_SCOPE_METHODS = f"""{_RUST} SELECT path AS file_path, count(*) FILTER (kind = 'Method') AS methods, count(*) FILTER (kind = 'Function') AS functions FROM ({" UNION ALL ".join(_METHODS)}) GROUP BY path"""
 
 
 def _of(language: tuple[str, ...]) -> tuple[Query, Query]:
@@ -336,53 +340,11 @@ def _deps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.dependencies(*_edges(spark, sf_dir))
 
 
-#: The file that queries about one file ask for.
-ONE = "src/m1.rs"
-
-
-def neighbors_out(spark, sf_dir):
-    return graph.neighbors(_deps(spark, sf_dir), ONE)[0].select("from_relative_path", "to_relative_path", "raw_target")
-
-
-def neighbors_in(spark, sf_dir):
-    return graph.neighbors(_deps(spark, sf_dir), ONE)[1].select("from_relative_path", "to_relative_path", "raw_target")
-
-
-_PATHS = f"WITH {_E} SELECT 'src/m' || a || '.rs' AS from_relative_path, 'src/m' || b || '.rs' AS to_relative_path, 'crate::m' || b || '::Item' AS raw_target FROM e WHERE {_HAVE}"
-NEIGHBORS_OUT, NEIGHBORS_IN = f"{_PATHS} AND a = 1", f"{_PATHS} AND b = 1"
-
-
 def dependencies(spark, sf_dir):
     return _deps(spark, sf_dir).select("from_relative_path", "to_relative_path", "raw_target")
 
 
-DEPENDENCIES = _PATHS
-
-
-def impact(spark, sf_dir):
-    return graph.impact(_deps(spark, sf_dir), ONE).select("relative_path", F.col("depth").cast("long").alias("depth"))
-
-
-IMPACT = f"""WITH RECURSIVE {_E}, r(k, depth) AS (SELECT a, 1 FROM e WHERE b = 1 UNION SELECT e.a, r.depth + 1 FROM r JOIN e ON e.b = r.k WHERE r.depth < 60)
-SELECT 'src/m' || k || '.rs' AS relative_path, CAST(min(depth) AS BIGINT) AS depth FROM r GROUP BY k"""
-
-
-def explain(spark, sf_dir):
-    files, parsed = _rust(spark, sf_dir)
-    one = files.filter(F.col("relative_path") == ONE).select("file_id", "relative_path", "language")
-    part = parse.parse(files.filter(F.col("relative_path") == ONE))
-    deps = graph.neighbors(graph.dependencies(files.select("file_id", "relative_path"), resolve.resolve_imports(files.select("file_id", "relative_path", "language"), part.imports)), ONE)[0]
-    rows = [one.select(F.lit("file").alias("section"), F.col("relative_path").alias("detail"), F.lit(0).cast("long").alias("line")), part.symbols.select(F.lit("symbol"), F.concat_ws(" ", "kind", "name"), F.col("start_line").cast("long")), part.imports.select(F.lit("import"), "raw_target", F.col("line").cast("long")), deps.select(F.lit("dependency"), "to_relative_path", F.lit(0).cast("long")), part.warnings.select(F.lit("warning"), "message", F.lit(0).cast("long"))]
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.union(r)
-    return out
-
-
-EXPLAIN = f"""{_RUST}, {_E} SELECT 'file' AS section, path AS detail, CAST(0 AS BIGINT) AS line FROM v WHERE path = '{ONE}'
-UNION ALL SELECT 'symbol', kind || ' ' || name, CAST(n AS BIGINT) FROM ({" UNION ALL ".join(_RUST_SYMBOLS)} UNION ALL {_found("'rust'", _FN, "Method", more="AND n = 8")} UNION ALL {_found("'rust'", _FN, "Function", more="AND n <> 8")}) WHERE path = '{ONE}'
-UNION ALL SELECT 'import', trim(name), CAST(n AS BIGINT) FROM ({_found("'rust'", "use\\s+([^;]+);", "")} UNION ALL {_found("'rust'", f"mod\\s+({_ID})\\s*;", "")}) WHERE path = '{ONE}'
-UNION ALL SELECT 'dependency', 'src/m' || b || '.rs', 0 FROM e WHERE a = 1 AND {_HAVE}"""
+DEPENDENCIES = f"WITH {_E} SELECT 'src/m' || a || '.rs' AS from_relative_path, 'src/m' || b || '.rs' AS to_relative_path, 'crate::m' || b || '::Item' AS raw_target FROM e WHERE {_HAVE}"
 
 
 def export_edges(spark, sf_dir):
@@ -407,17 +369,6 @@ def imports_summary(spark, sf_dir):
 IMPORTS_SUMMARY = f"{_EXPORT} SELECT detail, count(*) AS imports FROM x WHERE kind = 'Imports' GROUP BY detail"
 
 
-def replace_subgraph(spark, sf_dir):
-    """Children of changed files (orders) are replaced: old ones dropped by key, new ones added."""
-    old = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("file_id"), F.col("l_linenumber").cast("long").alias("line"), F.lit("old").alias("origin"))
-    todo = _table(spark, sf_dir, "orders").filter(F.col("o_orderkey") % 4 == 0).select(F.col("o_orderkey").alias("file_id"))
-    new = todo.select("file_id", F.lit(1).cast("long").alias("line"), F.lit("new").alias("origin"))
-    return old.join(todo, "file_id", "left_anti").unionByName(new)
-
-
-REPLACE_SUBGRAPH = "SELECT l_orderkey AS file_id, CAST(l_linenumber AS BIGINT) AS line, 'old' AS origin FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 4 = 0) UNION ALL SELECT o_orderkey, 1, 'new' FROM orders WHERE o_orderkey % 4 = 0"
-
-
 def run_history(spark, sf_dir):
     """Two runs over a store of their own, with a fixed clock: one completed, one failed."""
     from .plans.shared import scratch
@@ -454,13 +405,8 @@ _SQL = {
     "changes_of_kind": (changes_of_kind, CHANGES_OF_KIND),
     "repo_status": (repo_status, REPO_STATUS),
     "soft_delete": (soft_delete, SOFT_DELETE),
-    "replace_subgraph": (replace_subgraph, REPLACE_SUBGRAPH),
     "resolve_imports": (resolve_imports, RESOLVE_IMPORTS),
     "dependencies": (dependencies, DEPENDENCIES),
-    "neighbors_out": (neighbors_out, NEIGHBORS_OUT),
-    "neighbors_in": (neighbors_in, NEIGHBORS_IN),
-    "impact": (impact, IMPACT),
-    "explain": (explain, EXPLAIN),
     "export_edges": (export_edges, EXPORT_EDGES),
     "imports_summary": (imports_summary, IMPORTS_SUMMARY),
     "run_history": (run_history, RUN_HISTORY),
