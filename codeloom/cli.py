@@ -13,7 +13,7 @@ from pyspark.sql import SparkSession
 from .config import Config, Context
 from .operators import change, export
 from .operators.scan import scan_tree
-from .plans.store import GraphStore, epoch_seconds
+from .plans.store import GraphStore, Store, epoch_seconds
 
 
 class NotIndexed(Exception):
@@ -23,11 +23,12 @@ class NotIndexed(Exception):
 class Engine:
     """A source tree, its store and its exports."""
 
-    def __init__(self, spark: SparkSession, root: str, clock: Callable[[], str] = epoch_seconds):
+    def __init__(self, spark: SparkSession, root: str, clock: Callable[[], str] = epoch_seconds, store: str | None = None):
+        """`store`: where the graph is kept, on any file system that Spark reaches; by default beside the tree."""
         self.spark, self.root, self.config, self.clock = spark, os.path.realpath(root), Config.from_path(root), clock
         self.context = Context.of(self.root)
         self.out = os.path.join(self.root, self.config.output_dir)
-        self.store = GraphStore(spark, f"file://{self.out}/store", clock)
+        self.store: Store = GraphStore(spark, store or f"file://{self.out}/store", clock)
         self.exports = os.path.join(self.out, "exports")
 
     def _stats(self, plan, scanned: int) -> dict[str, int]:
@@ -56,6 +57,7 @@ class Engine:
             self._state(run, "completed", stats)
             export.export(export.Index(scan, self.clock()), self.exports)
             plan.unpersist()
+            self.store.vacuum()
         finally:
             scan.files.unpersist()
         return f"indexed {self.out} ({'full' if full else 'refresh' if refresh else 'incremental'})"
@@ -113,6 +115,7 @@ class Engine:
 
 def parser() -> argparse.ArgumentParser:
     out = argparse.ArgumentParser(prog="codeloom")
+    out.add_argument("--store", help="folder of the graph, as a path or URI that all executors reach")
     commands = out.add_subparsers(dest="command", required=True)
     index = commands.add_parser("index")
     index.add_argument("path")
@@ -146,7 +149,7 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.appName("codeloom").config("spark.sql.shuffle.partitions", "8").getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     try:
-        print("\n".join(run(Engine(spark, args.path), args)))
+        print("\n".join(run(Engine(spark, args.path, store=args.store), args)))
     except NotIndexed as error:
         print(f"Error: {error}", file=sys.stderr)
         return 1

@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from . import schemas
 from .functions import ids
 
+#: Languages, the size limit, and folder names that are never entered.
 LANGUAGES = ("rust", "python", "javascript", "typescript", "java", "go")
 
 

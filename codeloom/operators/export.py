@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..plans.shared import kept
 from . import graph, parse
 from .scan import Scan, source_text
 
@@ -24,7 +25,7 @@ class Index:
     def __init__(self, scan: Scan, indexed_at: str):
         self.scan, self.indexed_at = scan, indexed_at
         files = scan.files.withColumn("source", source_text(F.col("content")))
-        self.parsed = parse.parse(files)
+        self.parsed = parse.parse(files, lambda rows: kept(rows, "findings"))
         self.files = scan.files.drop("content")
         self.edges = graph.export_edges(self.files, self.parsed.symbols, self.parsed.imports)
 

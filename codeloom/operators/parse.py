@@ -8,6 +8,7 @@ array of a file, kept as a few spans.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -93,12 +94,15 @@ def findings(files: DataFrame) -> DataFrame:
         rules = [_finding(r, i, F.col("text_line"), inside) for i, r in enumerate(RULES) if r.language == name]
         found = F.when(F.col("language").isin(*languages), F.array_compact(F.array(*rules))).otherwise(found)
     rows = each.select("file_id", "relative_path", "language", (F.col("at") + 1).alias("line"), F.explode(found).alias("f"))
-    return rows.select("file_id", "relative_path", "language", "line", (F.col("line").cast("long") * 64 + F.col("f.rule")).alias("position"), F.col("f.kind").alias("kind"), F.col("f.text").alias("text"))
+    return rows.select("file_id", "relative_path", "language", "line", (F.col("line").cast("long") * 4096 + F.col("f.rule")).alias("position"), F.col("f.kind").alias("kind"), F.col("f.text").alias("text"))
 
 
-def parse(files: DataFrame) -> Parsed:
-    """files: file_id, relative_path, language, source (text). A null source or unknown language yields nothing."""
-    rows = findings(files)
+def parse(files: DataFrame, once: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> Parsed:
+    """files: file_id, relative_path, language, source (text). A null source or unknown language yields nothing.
+
+    `once` may keep the findings, from which symbols, imports and chunks are read.
+    """
+    rows = once(findings(files))
     line = F.col("line")
     named = rows.filter("kind != ''").withColumn("symbol_id", ids.symbol_id(F.col("relative_path"), F.col("text"), line, line))
     symbols = named.select("symbol_id", "file_id", F.col("relative_path").alias("file_path"), F.col("text").alias("name"), "kind", "language", line.alias("start_line"), line.alias("end_line"), "position")

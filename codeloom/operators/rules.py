@@ -6,7 +6,8 @@ a language stand in the order in which their findings are listed.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Iterable
+from dataclasses import dataclass, replace
 
 #: Unicode classes, and only \n ends a line.
 PREFIX = r"(?Ud)^\s*"
@@ -32,8 +33,8 @@ class Rule:
     when: tuple[int, str] | None = None
 
 
-#: Fixed patterns.
-RULES = (
+#: Fixed patterns. register() adds to them.
+RULES = [
     Rule("rust", r"use\s+([^;]+);", trimmed=True),
     Rule("rust", r"mod\s+" + NAME + r"\s*;", trimmed=True),
     Rule("rust", r"mod\s+" + NAME + r"\s*;", "Module"),
@@ -60,8 +61,18 @@ RULES = (
     Rule("go", r"func\s+" + NAME + r"\s*\(", "Function", unless="method"),
     Rule("go", r"type\s+" + NAME + r"\s+(struct|interface)", "Struct", when=(2, "struct")),
     Rule("go", r"type\s+" + NAME + r"\s+(struct|interface)", "Interface", when=(2, "interface")),
-)
+]
 #: Rule set of each language, and the name in its forced failure (none: it can't fail).
 DIALECTS = {"rust": ("rust", "rust"), "python": ("python", "python"), "javascript": ("script", "js"), "typescript": ("script", "js"), "java": ("java", None), "go": ("go", None)}
 #: A text that holds this fails to parse, where the dialect can fail.
 SENTINEL = "<<parse-error>>"
+
+
+def register(language: str, rules: Iterable[Rule], fails_as: str | None = None) -> None:
+    """Adds a language, or replaces its rules. `fails_as`: its name in the message of a forced failure, if it can fail.
+
+    Its files must be told by an extension (scan.EXTENSIONS) and enabled (Config.enabled_languages).
+    """
+    rules = [replace(r, language=language) for r in rules]
+    RULES[:] = [r for r in RULES if r.language != language] + rules
+    DIALECTS[language] = (language, fails_as)

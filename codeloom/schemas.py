@@ -9,27 +9,31 @@ SCHEMA_VERSION = "codeloom-graph-v1"
 PARSER_VERSION, CHUNKER_VERSION = "parser-heuristic-v2", "symbol-range-v1"
 
 
-def _schema(text: str) -> T.StructType:
-    kinds = {"L": T.LongType(), "D": T.DoubleType()}
-    return T.StructType([T.StructField(n, kinds.get(k, T.StringType())) for n, _, k in (x.partition(":") for x in text.split())])
-
-
 #: The store's tables. Containment relations are foreign keys: worktree.project_id,
 #: index_scope.worktree_id, file.scope_id, symbol/import/chunk/warning.file_id, chunk.symbol_id.
-TABLES: dict[str, T.StructType] = {
-    "schema_meta": _schema("key value"),
-    "project": _schema("project_id repo_id root_path created_at updated_at"),
-    "worktree": _schema("worktree_id project_id root_path created_at updated_at"),
-    "index_scope": _schema("scope_id project_id worktree_id repo_root parser_version graph_schema_version chunker_version created_at updated_at"),
-    "file": _schema("file_id repo_id project_id worktree_id scope_id path relative_path absolute_path language sha256 size_bytes:L mtime_seconds:L status parser_version graph_schema_version chunker_version last_indexed_run_id created_at updated_at deleted_at"),
-    "symbol": _schema("symbol_id file_id file_path name kind language start_line:L end_line:L"),
-    "import": _schema("import_id file_id raw_target line:L"),
-    "chunk": _schema("chunk_id file_id symbol_id label start_line:L end_line:L"),
-    "warning": _schema("warning_id file_id file_path stage message"),
-    "index_run": _schema("run_id repo_id project_id worktree_id scope_id repo_root status parser_version graph_schema_version chunker_version started_at finished_at error scanned_files:L added:L modified:L unchanged:L deleted:L skipped:L reindex_needed:L warnings:L"),
-    "imports_file": _schema("from_file_id to_file_id raw_target confidence_score:D confidence_label evidence"),
-    "touched_file": _schema("run_id file_id touched_at"),
+TABLES: dict[str, str] = {
+    "schema_meta": "key string, value string",
+    "project": "project_id string, repo_id string, root_path string, created_at string, updated_at string",
+    "worktree": "worktree_id string, project_id string, root_path string, created_at string, updated_at string",
+    "index_scope": "scope_id string, project_id string, worktree_id string, repo_root string, parser_version string, graph_schema_version string, chunker_version string, created_at string, updated_at string",
+    "file": "file_id string, repo_id string, project_id string, worktree_id string, scope_id string, path string, relative_path string, absolute_path string, language string, sha256 string, size_bytes long, mtime_seconds long, status string, parser_version string, graph_schema_version string, chunker_version string, last_indexed_run_id string, created_at string, updated_at string, deleted_at string",
+    "symbol": "symbol_id string, file_id string, file_path string, name string, kind string, language string, start_line long, end_line long",
+    "import": "import_id string, file_id string, raw_target string, line long",
+    "chunk": "chunk_id string, file_id string, symbol_id string, label string, start_line long, end_line long",
+    "warning": "warning_id string, file_id string, file_path string, stage string, message string",
+    "index_run": "run_id string, repo_id string, project_id string, worktree_id string, scope_id string, repo_root string, status string, parser_version string, graph_schema_version string, chunker_version string, started_at string, finished_at string, error string, scanned_files long, added long, modified long, unchanged long, deleted long, skipped long, reindex_needed long, warnings long",
+    "imports_file": "from_file_id string, to_file_id string, raw_target string, confidence_score double, confidence_label string, evidence string",
+    "touched_file": "run_id string, file_id string, touched_at string",
 }
+#: Tables that are kept in buckets of files.
+BY_FILE = ("file", "symbol", "import", "chunk", "warning")
+
+
+def columns(table: str) -> dict[str, str]:
+    """Columns of a table with their types."""
+    return dict(c.split(" ") for c in TABLES[table].split(", "))
+
+
 KEYS = {"schema_meta": ["key"], "project": ["project_id"], "worktree": ["worktree_id"], "index_scope": ["scope_id"], "file": ["file_id"], "symbol": ["symbol_id"], "import": ["import_id"], "chunk": ["chunk_id"], "warning": ["warning_id"], "index_run": ["run_id"], "imports_file": ["from_file_id", "to_file_id"], "touched_file": ["run_id", "file_id"]}
 
 #: Relations of the graph as (parent key, child key) views over the tables.

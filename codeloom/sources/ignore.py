@@ -1,8 +1,8 @@
 """Ignore files, as git understands them.
 
-Honoured: `.ignore` anywhere; `.gitignore` (also of parent folders up to the
-repository's top), `.git/info/exclude` and the user's global file inside a git
-repository. The last matching line of the nearest file decides; `!` takes back.
+Honoured: `.ignore` anywhere, also of all parent folders; `.gitignore` (also of
+parent folders up to the repository's top), `.git/info/exclude` and the user's
+global file (`core.excludesFile`) inside a git repository. The last matching line of the nearest file decides; `!` takes back.
 """
 
 from __future__ import annotations
@@ -96,7 +96,22 @@ def git_top(folder: str) -> str | None:
 
 
 def global_file() -> str:
-    base = os.environ.get("XDG_CONFIG_HOME") or os.path.join(os.path.expanduser("~"), ".config")
+    """The user's excludes file: as named in git's configuration, or else its usual place."""
+    home = os.path.expanduser("~")
+    base = os.environ.get("XDG_CONFIG_HOME") or os.path.join(home, ".config")
+    for config in (os.path.join(home, ".gitconfig"), os.path.join(base, "git", "config")):
+        section = ""
+        try:
+            with open(config, encoding="utf-8", errors="replace") as file:
+                lines = [x.strip() for x in file]
+        except OSError:
+            continue
+        for line in lines:
+            key, equals, value = line.partition("=")
+            if line.startswith("["):
+                section = line.strip("[]").strip().lower()
+            elif section == "core" and equals and key.strip().lower() == "excludesfile":
+                return os.path.expanduser(value.strip().strip('"'))
     return os.path.join(base, "git", "ignore")
 
 
@@ -111,6 +126,10 @@ def walk(root: str, skip_names: frozenset[str] = frozenset()) -> Iterator[os.Dir
     git = [Rules(f, os.path.join(f, ".gitignore")) for f in above] if top else []
     rest = [Rules(top, os.path.join(top, ".git", "info", "exclude")), Rules(top, global_file())] if top else []
     plain: list[Rules] = []
+    folder = root
+    while os.path.dirname(folder) != folder:
+        folder = os.path.dirname(folder)
+        plain.insert(0, Rules(folder, os.path.join(folder, ".ignore")))
 
     def ignored(path: str, is_folder: bool, plain: list[Rules], git: list[Rules]) -> bool:
         for rules in (*reversed(plain), *reversed(git), *rest):

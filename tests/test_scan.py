@@ -8,7 +8,7 @@ from codeloom.config import Config, Context
 from codeloom.functions import text
 from codeloom.operators import scan
 from codeloom.sources import ignore
-from tests.trees import SAMPLE, write
+from tests.trees import SAMPLE, SOURCES, write
 
 
 def paths(df):
@@ -24,7 +24,7 @@ def test_defaults():
 
 def test_sample(spark, tmp_path):
     found = scan.scan_tree(spark, write(tmp_path, SAMPLE))
-    assert paths(found.files) == ["src/login.rs", "src/main.rs", "src/store.rs"]
+    assert paths(found.files) == SOURCES
     assert found.skipped.count() == 0
     row = found.files.first()
     assert len(row["sha256"]) == 64 and row["repo_id"] == Context.of(str(tmp_path)).repo_id and row["size_bytes"] > 0
@@ -94,6 +94,37 @@ def test_gitignore_holds_in_repositories_only(spark, tmp_path):
     assert paths(scan.scan_tree(spark, str(tmp_path / "sub")).files) == ["b.py"]
 
 
+def test_ignore_files_of_parents_and_of_the_user(spark, tmp_path, monkeypatch):
+    root = tmp_path / "out" / "tree"
+    write(tmp_path, {"out/.ignore": "n.go\n/tree/deep/\n", "out/tree/n.go": "", "out/tree/deep/a.go": "", "out/tree/b.go": "", "out/tree/c.py": "", "home/.gitconfig": "[user]\n\tname = x\n[core]\n\texcludesFile = ~/mine\n", "home/mine": "*.py\n"})
+    monkeypatch.setenv("HOME", str(tmp_path / "home"))
+    monkeypatch.delenv("XDG_CONFIG_HOME", raising=False)
+    assert sorted(os.path.relpath(e.path, root) for e in ignore.walk(str(root))) == ["b.go", "c.py"]
+    subprocess.run(["git", "init", "-q", str(root)], check=True)
+    assert sorted(p for p in (os.path.relpath(e.path, root) for e in ignore.walk(str(root))) if not p.startswith(".git")) == ["b.go"]
+
+
+def test_a_registered_language(spark, tmp_path):
+    from codeloom.config import LANGUAGES
+    from codeloom.operators import parse, rules
+
+    before, known = list(rules.RULES), dict(rules.DIALECTS)
+    rules.register("ruby", [rules.Rule("", r"require\s+'([^']+)'"), rules.Rule("", r"def\s+" + rules.NAME, "Method")], "ruby")
+    scan.EXTENSIONS["rb"] = "ruby"
+    try:
+        tree = write(tmp_path, {"a.rb": "require 'set'\ndef run\nend\n", "b.rb": "<<parse-error>>", "c.py": "def f(): pass\n"})
+        found = scan.scan_tree(spark, tree, Config(enabled_languages=(*LANGUAGES, "ruby")))
+        parsed = parse.parse(found.files.withColumn("source", scan.source_text(F.col("content"))))
+        assert sorted((r["file_path"], r["kind"], r["name"]) for r in parsed.symbols.collect()) == [("a.rb", "Method", "run"), ("c.py", "Function", "f")]
+        assert [r["raw_target"] for r in parsed.imports.collect()] == ["set"]
+        assert [r["message"] for r in parsed.warnings.collect()] == ["forced ruby parser failure"]
+    finally:
+        rules.RULES[:] = before
+        rules.DIALECTS.clear()
+        rules.DIALECTS.update(known)
+        del scan.EXTENSIONS["rb"]
+
+
 def test_languages(spark):
     cases = {"a.rs": "rust", "a.py": "python", "a.jsx": "javascript", "a.js": "javascript", "b/a.tsx": "typescript", "a.ts": "typescript", "a.java": "java", "a.go": "go", "a.RS": "unknown", ".rs": "unknown", "rs": "unknown", "a.rs/b": "unknown", "a.b.rs": "rust"}
     rows = spark.createDataFrame([(k,) for k in cases], "p string").select("p", scan.language(F.col("p")).alias("l")).collect()

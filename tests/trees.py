@@ -2,12 +2,17 @@
 
 import os
 
+#: A kiln: nested modules, a mod.rs that imports in a circle, a script, and imports that lead nowhere.
 SAMPLE = {
-    "src/store.rs": "pub struct Store {\n    name: String,\n}\n\nimpl Store {\n    pub fn open(name: &str) -> Self {\n        Self { name: name.to_string() }\n    }\n\n    pub fn name(&self) -> &str {\n        &self.name\n    }\n}\n",
-    "src/login.rs": "use crate::store::Store;\n\npub struct Login {\n    store: Store,\n}\n\nimpl Login {\n    pub fn new(store: Store) -> Self {\n        Self { store }\n    }\n\n    pub fn user(&self) -> String {\n        self.store.name().to_string()\n    }\n}\n",
-    "src/main.rs": "mod login;\nmod store;\n\nuse login::Login;\nuse store::Store;\n\nfn main() {\n    println!(\"{}\", Login::new(Store::open(\"x\")).user());\n}\n",
-    "Cargo.toml": '[package]\nname = "sample"\n',
+    "src/main.rs": "mod furnace;\nmod glaze;\n\nuse furnace::Furnace;\nuse serde::Serialize;\n\nfn main() {\n    Furnace::lit(900).bake();\n}\n",
+    "src/furnace.rs": "mod valve;\n\nuse crate::glaze::Coat;\n\npub struct Furnace {\n    heat: u32,\n}\n\nimpl Furnace {\n    pub fn lit(heat: u32) -> Self {\n        Furnace { heat }\n    }\n\n    pub fn bake(&self) -> Coat {\n        Coat::Matte\n    }\n}\n\nfn cool() {}\n",
+    "src/furnace/valve.rs": "pub enum Valve {\n    Open,\n    Shut,\n}\n\npub trait Turn {}\n",
+    "src/glaze/mod.rs": "mod tint;\n\npub enum Coat {\n    Matte,\n}\n",
+    "src/glaze/tint.rs": "use super::Coat;\nuse crate::glaze::Coat as Again;\n\nfn mix() {}\n",
+    "tools/fire.py": "import json\nfrom os import path\n\nclass Kiln:\n    def fire(self):\n        pass\n",
+    "Makefile": "all:\n",
 }
+SOURCES = sorted(p for p in SAMPLE if p != "Makefile")
 
 
 def write(root, files):
