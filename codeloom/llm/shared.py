@@ -30,9 +30,33 @@ def own_dir(spark: SparkSession, name: str) -> str:
     system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     system.mkdirs(where)
     system.deleteOnExit(where)
+    _made.append(path)
     return path
 
 
+#: Folders of own_dir() that are still there.
+_made: list[str] = []
+
+
+def made(first: int = 0) -> list[str]:
+    """Folders of own_dir(), from one on."""
+    return _made[first:]
+
+
+def forget(spark: SparkSession, folders: list[str], needed: DataFrame) -> None:
+    """Removes folders, but for those that `needed` still reads. For a caller that knows that nothing else does."""
+    used = " ".join(needed.inputFiles())
+    for path in folders:
+        if path in _made and path.rpartition("/")[2] not in used:
+            remove(spark, path)
+            _made.remove(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """The frame, written as Parquet in the shared folder (in folders of column `by`) and read back.
 
