@@ -12,16 +12,30 @@ where rows are repeated. A document that the mix takes twice is two rows.
 
 from __future__ import annotations
 
-import uuid
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.llm import decontaminate, mixing, near, packing, quality
-from codeloom.llm.shared import shared_dir, table
+from codeloom.llm.shared import forget, made, own_dir, remove, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+#: Scratch folders of the stage that ran last; they go when the next begins on its written result.
+_last: list[str] = []
+
+
+def _tidied(stage: Stage) -> Stage:
+    @functools.wraps(stage)
+    def begun(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        forget(spark, _last, docs)
+        first = len(made())
+        result = stage(spark, docs, sf_dir)
+        _last[:] = made(first)
+        return result
+
+    return begun
 
 
 def _rows(docs: DataFrame, *columns: str) -> DataFrame:
@@ -29,12 +43,14 @@ def _rows(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(F.struct(*docs.columns).alias("row"), *columns)
 
 
+@_tidied
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     judged = quality.judge(quality.score(_rows(docs, "text", "lang"), carry=["row"]))
     return judged.filter("q_kept").select("row.*")
 
 
+@_tidied
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (of five-word shingles): that of the smallest doc_id, once if its row is repeated."""
     found = near.near_duplicates(docs)
@@ -46,18 +62,21 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return noded.join(stay, ["row_id", "row_node"], "left_semi").groupBy("row_id", "row_node").agg(F.first("row").alias("row")).select("row.*")
 
 
+@_tidied
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the benchmark doesn't contaminate."""
     scanned = decontaminate.decontaminate(_rows(docs, "text"), table(spark, sf_dir, "benchmark"))
     return scanned.filter(~F.col("hit_contaminated")).select("row.*")
 
 
+@_tidied
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
     mixed = mixing.mix(_rows(docs, "text", "source", "doc_id"))
     return mixed.filter("mix_times > 0").select("row", F.explode(F.sequence(F.lit(1), "mix_times"))).select("row.*")
 
 
+@_tidied
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files of all documents, read back."""
     return packing.read_ids(packing.write_ids(docs, packing.tokenizer_path()))
@@ -76,11 +95,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`; each result is written in the shared folder and read again."""
+    """All stages over `documents`; each result is written in the shared folder and read again, and goes when the next is there."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        path = f"{shared_dir(spark)}/codeloom/stage-{uuid.uuid4().hex}"
-        made = stage(spark, docs, sf_dir)
-        made.write.parquet(path)
-        docs = spark.read.schema(made.schema).parquet(path)
+    before = None
+    for _, stage in STAGES:
+        folder = own_dir(spark, "stage")
+        result = stage(spark, docs, sf_dir)
+        result.write.parquet(f"{folder}/table")
+        docs = spark.read.schema(result.schema).parquet(f"{folder}/table")
+        if before:
+            remove(spark, before)
+        before = folder
     return docs
