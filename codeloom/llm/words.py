@@ -25,6 +25,8 @@ NOT_SPACE[[0x20, *range(0x09, 0x0E)]] = False
 #: Two independent families of word hashes: a seed and an odd multiplier each.
 SEEDS = (U64(0x243F6A8885A308D3), U64(0x13198A2E03707344))
 FACTORS = (U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93))
+#: Words hashed at once; bounds what is held besides, however long a text is.
+AT_ONCE = 1 << 18
 #: Words of more bytes than this are hashed one by one by the library.
 LONG_WORD = 256
 #: Keeps the first 0 to 8 bytes of a little-endian integer.
@@ -91,10 +93,16 @@ class Words:
 
         Eight bytes a step go through a mixer, all words in step; a long word has its BLAKE2 digest.
         """
-        size, seed, factor = self.end - self.start, SEEDS[family], FACTORS[family]
-        out = mix(size.astype(U64) * factor + seed)
+        out = np.empty(len(self), U64)
         padded = self.raw + bytes(8)
         eight = np.ndarray(len(self.raw), "<u8", padded, strides=(1,))
+        for i in range(0, len(out), AT_ONCE):
+            self._hash(out[i : i + AT_ONCE], eight, self.start[i : i + AT_ONCE], self.end[i : i + AT_ONCE], family)
+        return out
+
+    def _hash(self, out: np.ndarray, eight: np.ndarray, start: np.ndarray, end: np.ndarray, family: int) -> None:
+        size, seed, factor = end - start, SEEDS[family], FACTORS[family]
+        out[:] = mix(size.astype(U64) * factor + seed)
         many = np.flatnonzero(size > LONG_WORD)
         now = np.arange(len(size)) if not len(many) else np.flatnonzero(size <= LONG_WORD)
         for at in range(0, LONG_WORD, 8):
@@ -103,16 +111,15 @@ class Words:
             if not len(now):
                 break
             every = len(now) == len(size)
-            start, rest = (self.start, size) if every else (self.start[now], size[now])
-            mixed = mix((out if every else out[now]) ^ ((eight[start + at] & FIRST_BYTES[np.minimum(rest - at, 8)]) * factor + seed))
+            begin, rest, held = (start, size, out) if every else (start[now], size[now], out[now])
+            mixed = mix(held ^ ((eight[begin + at] & FIRST_BYTES[np.minimum(rest - at, 8)]) * factor + seed))
             if every:
-                out = mixed
+                out[:] = mixed
             else:
                 out[now] = mixed
         for i in many.tolist():
-            digest = hashlib.blake2b(self.raw[self.start[i] : self.end[i]], digest_size=16).digest()
+            digest = hashlib.blake2b(self.raw[start[i] : end[i]], digest_size=16).digest()
             out[i] = np.frombuffer(digest, "<u8")[family]
-        return out
 
     def word(self, i: int) -> bytes:
         return self.raw[self.start[i] : self.end[i]]
@@ -158,7 +165,11 @@ class Windows:
         if n <= 0:
             return np.empty(0, U64)
         k = size.bit_length() - 1
-        runs = self.level(k)
+        # levels that nobody else asked for are not kept
+        runs = self.levels[min(k, len(self.levels) - 1)]
+        for j in range(len(self.levels), k + 1):
+            half = 1 << (j - 1)
+            runs = self._pair(runs[:-half], runs[half:], j)
         return self._pair(runs[:n], runs[size - (1 << k) : size - (1 << k) + n], size << 8)
 
 
