@@ -6,7 +6,8 @@ import argparse
 import json
 import os
 import sys
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 from pyspark.sql import SparkSession
 
@@ -76,8 +77,8 @@ class Engine:
     def status(self) -> list[str]:
         return [f"{k}: {v}" for k, v in self.store.repo_status(self._scan()).items()]
 
-    def changed(self) -> list[str]:
-        return [f"{r['kind']}\t{r['relative_path']}" for r in self.store.changed_files(self._scan()).collect()]
+    def changed(self) -> Iterator[str]:
+        return (f"{r['kind']}\t{r['relative_path']}" for r in self.store.changed_files(self._scan()).toLocalIterator())
 
     def _found(self, found, file: str):
         if found is None:
@@ -99,10 +100,10 @@ class Engine:
         out = [f"file: {file}"] + [f"outgoing: {r['to_relative_path']} via {r['raw_target']}" for r in outgoing.collect()]
         return out + [f"incoming: {r['from_relative_path']} via {r['raw_target']}" for r in incoming.collect()]
 
-    def impact(self, file: str) -> list[str]:
+    def impact(self, file: str) -> Iterator[str]:
         self.store.init_schema(rebuild=False)
-        rows = self._found(self.store.impact(self.context.scope_id, file), file).collect()
-        return [f"file: {file}"] + [f"impacted: depth={r['depth']} {r['relative_path']} via {r['via_relative_path']}" for r in rows]
+        rows = self._found(self.store.impact(self.context.scope_id, file), file).toLocalIterator()
+        return chain([f"file: {file}"], (f"impacted: depth={r['depth']} {r['relative_path']} via {r['via_relative_path']}" for r in rows))
 
     def map(self) -> list[str]:
         return [export.load(self.exports, "map").rstrip("\n")]
@@ -135,7 +136,8 @@ def parser() -> argparse.ArgumentParser:
     return out
 
 
-def run(engine: Engine, args: argparse.Namespace) -> list[str]:
+def run(engine: Engine, args: argparse.Namespace) -> Iterable[str]:
+    """Lines to print."""
     if args.command == "index":
         return [engine.index(args.full, args.refresh)]
     if args.command == "graph":
@@ -149,7 +151,8 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.appName("codeloom").config("spark.sql.shuffle.partitions", "8").getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     try:
-        print("\n".join(run(Engine(spark, args.path, store=args.store), args)))
+        for line in run(Engine(spark, args.path, store=args.store), args):
+            print(line)
     except NotIndexed as error:
         print(f"Error: {error}", file=sys.stderr)
         return 1

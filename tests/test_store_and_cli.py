@@ -15,7 +15,7 @@ def ticking(start=1000):
 
 
 def ask(engine, *args):
-    return cli.run(engine, cli.parser().parse_args([args[0], *((args[1],) if args[0] == "graph" else ()), engine.root, *args[2 if args[0] == "graph" else 1 :]]))
+    return list(cli.run(engine, cli.parser().parse_args([args[0], *((args[1],) if args[0] == "graph" else ()), engine.root, *args[2 if args[0] == "graph" else 1 :]])))
 
 
 def test_whole_life_of_a_tree(spark, tmp_path):
