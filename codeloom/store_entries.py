@@ -30,7 +30,6 @@ TEXT = f"""'use crate::m' || {HALF} || '::Item;' || chr(10) || 'use self::m' ||
 LATER = f"{TEXT} || CASE WHEN p_partkey % 3 = 0 THEN 'use crate::m' || CAST(p_partkey + 1 AS STRING) || '::Late;' || chr(10) || 'fn late() {{}}' || chr(10) ELSE '' END"
 STAYS, TABLES = "p_partkey % 7 <> 0", ("file", "symbol", "import", "chunk", "imports_file", "defines", "contains_file", "touched_file")
 
-_BY_START = Window.orderBy("started_at")
 _stores: dict[tuple[str, str, int], GraphStore] = {}
 
 
@@ -103,7 +102,7 @@ REPLACE_SUBGRAPH = f"{_SECOND} SELECT path AS file_path, name, kind, CAST(n AS B
 def touched_files(spark, sf_dir):
     """Files that each of two runs has touched, with their status now."""
     held = _indexed(spark, sf_dir, 2)
-    runs = held.table("index_run").select("run_id", F.dense_rank().over(_BY_START).cast("long").alias("run"))
+    runs = held.table("index_run").select("run_id", F.dense_rank().over(Window.orderBy("started_at")).cast("long").alias("run"))
     return held.table("touched_file").join(runs, "run_id").join(held.table("file").select("file_id", "relative_path", "status"), "file_id").select("run", "relative_path", "status")
 
 
@@ -113,7 +112,7 @@ UNION ALL SELECT 2, {PATH}, CASE WHEN {STAYS} THEN 'indexed' ELSE 'deleted' END
 
 def run_lifecycle(spark, sf_dir):
     """Counters of two completed runs."""
-    return _indexed(spark, sf_dir, 2).table("index_run").select(F.dense_rank().over(_BY_START).cast("long").alias("run"), "status", "scanned_files", *change.KINDS, "warnings", "error")
+    return _indexed(spark, sf_dir, 2).table("index_run").select(F.dense_rank().over(Window.orderBy("started_at")).cast("long").alias("run"), "status", "scanned_files", *change.KINDS, "warnings", "error")
 
 
 RUN_LIFECYCLE = f"""SELECT 1::BIGINT AS run, 'completed' AS status, count(*) AS scanned_files, {", ".join(f"{'count(*)' if k == 'added' else '0::BIGINT'} AS {k}" for k in change.KINDS)}, 0::BIGINT AS warnings, NULL::VARCHAR AS error FROM part
