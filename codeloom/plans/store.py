@@ -112,7 +112,7 @@ class GraphStore:
             if not rebuild:
                 raise SchemaMismatch(f"store has schema {version}, not {schemas.SCHEMA_VERSION}: index again")
             self.reset()
-        empty = {n: self.spark.createDataFrame([], schema) for n, schema in schemas.TABLES.items()}
+        empty = {n: self.spark.createDataFrame([], schema).coalesce(1) for n, schema in schemas.TABLES.items() if n not in schemas.BY_FILE}
         empty["schema_meta"] = self.spark.createDataFrame([("schema_version", schemas.SCHEMA_VERSION)], schemas.TABLES["schema_meta"])
         self._write(empty, fresh=True)
 
@@ -140,7 +140,7 @@ class GraphStore:
 
     def _write(self, new: dict[str, DataFrame], fresh: bool = False, touched: list[int] | None = None) -> None:
         """Writes tables, then commits them together. With `touched`, tables by file are given and replaced for those buckets only."""
-        tables = {} if fresh else dict((self._manifest() or {"tables": {}})["tables"])
+        tables = dict.fromkeys(schemas.BY_FILE, {}) if fresh else dict((self._manifest() or {"tables": {}})["tables"])
         for name, rows in new.items():
             folder = f"data/{name}-{uuid.uuid4().hex}"
             fields = [F.col(c).cast(kind).alias(c) for c, kind in schemas.columns(name).items()]

@@ -96,3 +96,11 @@ def test_neighbors(spark):
     outgoing, incoming = graph.neighbors(deps_of(spark, [("a", "b"), ("c", "a"), ("b", "a")]), "a")
     assert [r["to_relative_path"] for r in outgoing.collect()] == ["b"]
     assert [r["from_relative_path"] for r in incoming.collect()] == ["b", "c"]
+
+
+def test_queries_are_listed_without_a_session():
+    import subprocess
+    import sys
+
+    done = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(set(e.oracle_sql()) <= set(e.queries()))"], capture_output=True, text=True, cwd=__file__.rpartition("/tests/")[0])
+    assert done.stdout.strip() == "True", done.stderr
