@@ -45,7 +45,8 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
 
     Water filling in closed form: sources are full in the order of size by
     weight, so running sums in that order give the common rate of the rest.
-    One row a source; the sums of rows before a source need them in one place.
+    One row a source; the sums of rows before a source need them in one place, so
+    one task holds as many rows as there are sources, and nothing of documents.
     """
     by_source, by_ratio = Window.orderBy(F.col("source").asc_nulls_last()), Window.orderBy("ratio", F.col("source").asc_nulls_last())
     pattern = F.array(*[F.lit(float(w)) for w in weights])

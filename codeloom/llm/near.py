@@ -359,8 +359,9 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     ids = nodes.join(groups, "node", "left").select("digest", "least_id", F.coalesce("comp", "node").alias("comp"))
     least = ids.groupBy("comp").agg(F.min("least_id").alias("component_id"))
     named = ids.select("digest", "comp").join(least, "comp").select(F.col("digest").alias("near_node"), F.col("comp").alias("near_group"), "component_id")
-    out = signed.select("doc_id", "n_shingles", "digest").join(named, F.col("digest") == F.col("near_node"), "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.col("digest").alias("near_node"), "near_group").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    some = signed.filter(F.col("digest").isNotNull()).select("doc_id", "n_shingles", "digest").join(named, F.col("digest") == F.col("near_node"))
+    none = signed.filter(F.col("digest").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.col("digest").alias("near_node"), F.lit(None).cast("long").alias("near_group"))
+    return some.select(*none.columns).unionByName(none).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
