@@ -160,3 +160,16 @@ def test_pipeline(spark, tmp_path):
     assert len(kept[4]) == sum(r["mix_times"] for r in mixed)
     assert held[5].count() == len(kept[4]) and held[5].agg(F.min("start")).first()[0] == 0
     assert near.SHINGLE == 5 and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from codeloom.llm.shared import shared_dir
+
+    empty = SimpleNamespace(get=lambda key, default=None: default)
+    session = SimpleNamespace(conf=empty, sparkContext=SimpleNamespace(master="spark://host:7077", getConf=lambda: empty))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(session)
+    named = SimpleNamespace(get=lambda key, default=None: "hdfs://x/y/" if key == "spark.checkpoint.dir" else default)
+    assert shared_dir(SimpleNamespace(conf=named)) == "hdfs://x/y"
