@@ -104,3 +104,15 @@ def test_queries_are_listed_without_a_session():
 
     done = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(set(e.oracle_sql()) <= set(e.queries()))"], capture_output=True, text=True, cwd=__file__.rpartition("/tests/")[0])
     assert done.stdout.strip() == "True", done.stderr
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from codeloom.plans.shared import shared_dir
+
+    empty = SimpleNamespace(get=lambda key, default=None: default)
+    for master in ("spark://host:7077", "yarn", "local-cluster[3,2,1024]"):
+        session = SimpleNamespace(conf=empty, sparkContext=SimpleNamespace(master=master, getConf=lambda: empty))
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            shared_dir(session)
