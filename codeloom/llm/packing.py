@@ -44,7 +44,7 @@ MAGIC, HEADER = b"CLB1", struct.Struct("<4sB3xIIQ")
 BLOCK_IDS, CHUNK_IDS, TASK_CHUNKS = 1024, 1 << 19, 32
 END_ID = 2
 #: Words whose ids a worker keeps, at most twice as many, and the longest of them in bytes.
-KEEP_WORDS, KEEP_BYTES = 250_000, 48
+KEEP_WORDS, KEEP_BYTES = 400_000, 48
 #: Normalizers, and pre-tokenizers with their patterns, for which Encoder may go by words.
 BUILD = (["NFC", "Replace", "Lowercase"], [("Split", r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"), ("ByteLevel", None)])
 #: Marks that are a piece of their own after a letter or digit.
