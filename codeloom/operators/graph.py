@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ids, text
-from ..plans.shared import checkpointed
+from ..plans.shared import kept
 
 #: Fixed values of evidence.
 EDGE_SOURCE = "heuristic-parser"
@@ -28,13 +28,13 @@ def neighbors(deps: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
 def impact(deps: DataFrame, path: str) -> DataFrame:
     """Files that depend on the file, directly or not: file_id, relative_path, depth, via_relative_path.
 
-    Level by level: one join of the frontier with the edges, the best way to
+    Level by level, each written once: one join of the frontier with the edges, the best way to
     each new file, and an anti-join with what was found. `key` is the way from
     the first step on; at one depth such arrays compare as a queue would deliver,
     so the least is the way a breadth-first search takes. The start itself is
     reported if a cycle leads back to it.
     """
-    edges = checkpointed(deps.select(F.col("from_file_id").alias("id"), F.col("from_relative_path").alias("step"), F.col("to_relative_path").alias("into")))
+    edges = kept(deps.select(F.col("from_file_id").alias("id"), F.col("from_relative_path").alias("step"), F.col("to_relative_path").alias("into")), "ways")
     frontier = deps.sparkSession.createDataFrame([(path,)], "at string").withColumn("key", F.array().cast("array<string>"))
     found: DataFrame | None = None
     depth = 0
@@ -43,7 +43,7 @@ def impact(deps: DataFrame, path: str) -> DataFrame:
         reached = edges.join(frontier, F.col("into") == F.col("at")).groupBy("id", "step").agg(F.min(F.struct("key", "at")).alias("best"))
         if found is not None:
             reached = reached.join(found.select("id"), "id", "left_anti")
-        level = checkpointed(reached.select("id", "step", F.lit(depth).alias("depth"), F.col("best.at").alias("via"), F.array_append("best.key", F.col("step")).alias("key")))
+        level = kept(reached.select("id", "step", F.lit(depth).alias("depth"), F.col("best.at").alias("via"), F.array_append("best.key", F.col("step")).alias("key")), "level")
         if level.isEmpty():
             break
         frontier = level.select(F.col("step").alias("at"), "key")

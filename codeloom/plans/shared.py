@@ -22,12 +22,6 @@ def shared_dir(spark: SparkSession) -> str:
     return known.rstrip("/")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df.checkpoint() in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def kept(df: DataFrame, name: str) -> DataFrame:
     """The frame, written once in the shared folder and read from there by all that use it."""
     path = f"{scratch(df.sparkSession, name)}/table"
