@@ -9,20 +9,24 @@
    Nodes of buckets with one leader form the leader's star.
 3. Verified links are grouped: union-find inside tasks, then alternating star
    contractions between them, until nothing changes.
-4. A star that lies in one group is done. In any other, let L be its leader, and x
-   and y two of its nodes in different groups. Linked sets have at least 4/9 of
-   the sum of their sizes in common, and outside of L they have in common at least
-   that less what either shares with L. So a link between x and y shows in one of
-   two ways, and only such nodes stay together in a smaller star:
+4. A star that lies in one group is done. In any other, all pairs of different
+   groups are compared, star by star: its nodes are dealt to blocks of a bounded
+   number of nodes and shingles, and every two blocks meet in a unit, where an
+   inverted index of their shingles counts what each node has in common with all
+   others. A unit tells no pairs, only the links that join groups. Before that, a
+   star of more than one block loses nodes that can't be linked beside its leader
+   L. Linked sets have at least 4/9 of the sum of their sizes in common, and
+   outside of L at least that less what either shares with L. So a link between x
+   and y, in different groups, shows in one of two ways, and only such nodes stay:
    - they have a shingle in common that L lacks. Prefix filter: with the shingles
      that L lacks ordered by how many nodes of the star have them, one of the first
      |x without L| - t + 1 is in common, where t is the least overlap that links x with
      any node of the star;
    - all they have in common is in L. Since one of them isn't linked with L, the
      other must then be smaller than L.
-   The smaller stars get leaders of their own (and WITNESSES more, which
-   shortens the rounds), and so on until all lie in one group. No pair of candidates is left undecided, and none is dropped unless a
-   bound rules its link out; families of variants are not paired with each other.
+   No star gives rise to others, so that the work is bounded by the stars of 2. No
+   pair of candidates is left undecided, and none is dropped unless a bound rules
+   its link out.
 
 SuperMinHash (Ertl 2017): instead of independent hash functions, every element
 walks one random permutation of the signature's places; its j-th place gets
@@ -60,8 +64,8 @@ BANDS = PLACES // ROWS
 PERCENT = 80
 #: So many links or fewer are grouped by union-find in one task.
 SOLO = 1 << 17
-#: Nodes of a smaller star, besides its leader, that all others are verified against.
-WITNESSES = 7
+#: A block of a star has about so many nodes and shingles, or one node of more.
+BLOCK_NODES, BLOCK_SHINGLES = 1 << 10, 1 << 19
 FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 BLANK = np.uint32(0xFFFFFFFF)
 OWNER = U64(0xA0761D6478BD642F)
@@ -283,17 +287,17 @@ def _mixed(stars: DataFrame, groups: DataFrame) -> DataFrame:
     lead = groups.select(F.col("node").alias("g"), F.col("comp").alias("lead"))
     sizes = grouped.groupBy("key").agg(F.min("comp").alias("c"), F.max("comp").alias("d"), F.min("n").alias("least")).filter("c < d").select("key", "least")
     found = grouped.join(sizes, "key").join(lead, F.col("leader") == F.col("g"), "left")
-    return found.select("key", "leader", "node", "n", "weight", "comp", "least", (F.col("comp") != F.coalesce("lead", "leader")).alias("open"))
+    return found.select("key", "leader", "node", "n", "comp", "least", (F.col("comp") != F.coalesce("lead", "leader")).alias("open"))
 
 
-def _smaller(mixed: DataFrame, compared: DataFrame) -> DataFrame:
-    """Stars (key, node, n, weight) inside `mixed`, of nodes that may still be linked beside their leader."""
+def _narrowed(mixed: DataFrame, compared: DataFrame) -> DataFrame:
+    """(key, node) of `mixed` that may still be linked beside their leader."""
     rows = mixed.join(compared, ["node", "leader"])
     # what a linked pair has in common outside the leader is at least this
     least = F.greatest(F.col("least"), F.ceil(F.col("n") * PERCENT / 100))
     need = F.greatest(F.lit(1), F.ceil((PERCENT * (F.col("n") + least) - (100 + PERCENT) * F.col("common")) / (100 + PERCENT)))
     cap = F.floor(F.col("common") * (100 + PERCENT) / PERCENT) - F.col("n")
-    rows = written(rows.select("key", "node", "n", "weight", "comp", "open", "least", cap.alias("cap"), (F.size("lacks") - need + 1).alias("prefix"), "lacks"), "lacking")
+    rows = written(rows.select("key", "node", "n", "comp", "open", "least", cap.alias("cap"), (F.size("lacks") - need + 1).alias("prefix"), "lacks"), "lacking")
     element = F.xxhash64("key", "e").alias("h")
     spread = rows.filter("prefix > 0").select("key", "node", F.explode("lacks").alias("e")).select("node", "key", element)
     often = spread.groupBy("h").agg(F.count("*").alias("k")).filter("k > 1").withColumnRenamed("h", "often")
@@ -301,31 +305,119 @@ def _smaller(mixed: DataFrame, compared: DataFrame) -> DataFrame:
     # shingles of one node only come first in the order
     rest = F.col("prefix") - (F.size("lacks") - F.size("held"))
     found = rows.join(shared, ["key", "node"]).filter(rest > 0)
-    found = found.select("node", "n", "weight", "comp", F.explode(F.slice("held", F.lit(1), F.least(rest.cast("int"), F.size("held")))).alias("x"))
-    beyond = found.select(F.col("x.h").alias("key"), "node", "n", "weight", "comp")
+    found = found.select("key", "node", "comp", F.explode(F.slice("held", F.lit(1), F.least(rest.cast("int"), F.size("held")))).alias("x")).select("key", "node", "comp", "x.h")
+    met = found.groupBy("h").agg(F.min("comp").alias("c"), F.max("comp").alias("d")).filter("c < d").select(F.col("h").alias("met"))
+    beyond = found.join(met, F.col("h") == F.col("met"), "left_semi").select("key", "node")
     # all in common lies in the leader: one is not in its group, the other small enough for it
     most = rows.filter("open").groupBy("key").agg(F.max("cap").alias("most"), F.min("n").alias("few")).withColumnRenamed("key", "star")
     inside = rows.join(most, F.col("key") == F.col("star")).filter((F.col("open") & (F.col("cap") >= F.col("least"))) | ((F.col("n") <= F.col("most")) & (F.col("cap") >= F.col("few"))))
-    # led by the smallest, so that the case can't come again
-    inside = inside.select(F.xxhash64(F.lit("inside"), "key").alias("key"), "node", "n", (-F.col("n")).alias("weight"), "comp")
-    stars = written(beyond.unionByName(inside), "stars")
-    # stars of the same nodes are one
-    same = stars.groupBy("key").agg(F.count("*").alias("k"), F.min("comp").alias("c"), F.max("comp").alias("d"), F.bit_xor(F.xxhash64("node")).alias("s")).filter("c < d")
-    named = same.select(F.col("key").alias("was"), F.xxhash64("k", "s").alias("now"))
-    return stars.join(named, F.col("key") == F.col("was")).groupBy("now", "node").agg(F.first("n").alias("n"), F.max("weight").alias("weight"), F.first("comp").alias("comp")).withColumnRenamed("now", "key")
-
-
-def _led(stars: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The leader of each star with the nodes whose links are open after it and WITNESSES others have been verified; the pairs to verify (of different groups)."""
-    orders = [F.col("weight"), *[F.xxhash64("node", F.lit(i)) for i in range(WITNESSES)]]
-    picked = stars.groupBy("key").agg(*[F.max_by(c, o).alias(f"{c}{i}") for i, o in enumerate(orders) for c in ("node", "comp")])
-    picked = picked.select("key", F.col("node0").alias("leader"), F.array(*[F.struct(F.col(f"node{i}").alias("leader"), F.col(f"comp{i}").alias("lead")) for i in range(len(orders))]).alias("heads"))
-    both = written(stars.join(picked, "key"), "led")
-    pairs = both.select("node", "comp", F.explode("heads").alias("h")).filter("comp != h.lead").select("node", "h.leader").distinct()
-    return both.filter(~F.array_contains("heads.leader", F.col("node"))).select("key", "leader", "node", "n", "weight"), pairs
-
-
-def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    return beyond.unionByName(inside.select("key", "node")).distinct()
+
+
+def _blocks(mixed: DataFrame, nodes: int, most: int) -> DataFrame:
+    """Stars with the number of blocks of each."""
+    sizes = mixed.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / nodes, F.sum("n") / most)).cast("int").alias("blocks"))
+    return mixed.join(sizes, "key")
+
+
+def _units(blocked: DataFrame) -> DataFrame:
+    """(key, i, j, node, side, comp): every two blocks i and j of a star, or one with itself, and their nodes."""
+    own = F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")).cast("int")
+    dealt = blocked.select("key", "node", "comp", own.alias("side"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    return dealt.select("key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "node", "side", "comp")
+
+
+def joined(values: np.ndarray, owner: np.ndarray, groups: np.ndarray, sides: np.ndarray) -> list[tuple[int, int]]:
+    """Of nodes with these distinct shingles (value and owner of each), pairs that are linked and join all groups that links join; with two sides, only links between them count."""
+    n, parent = len(groups), {}
+    size = np.bincount(owner, minlength=n)
+    _, group = np.unique(groups, return_inverse=True)
+    order = np.argsort(values, kind="stable")
+    values, posts = values[order], owner[order]
+    head = np.concatenate(([True], values[1:] != values[:-1])) if len(values) else np.zeros(0, bool)
+    start = np.flatnonzero(head)
+    count = np.diff(np.append(start, len(values)))
+    name = np.cumsum(head) - 1
+    # shingles of one node only are in no pair
+    shared = np.flatnonzero(count[name] > 1)
+    by = shared[np.argsort(posts[shared], kind="stable")]
+    first = np.searchsorted(posts[by], np.arange(n + 1))
+    across, out = len(np.unique(sides)) > 1, []
+
+    def find(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    left = int(group.max()) + 1 if n else 0
+    for x in range(n):
+        if left == 1:
+            break
+        mine = name[by[first[x] : first[x + 1]]]
+        if not len(mine):
+            continue
+        many = count[mine]
+        at = np.repeat(start[mine] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        common = np.bincount(posts[at], minlength=n)
+        linked = (100 * common >= PERCENT * (size[x] + size - common)) & (group != group[x])
+        linked[: x + 1] = False
+        if across:
+            linked &= sides != sides[x]
+        for y in np.flatnonzero(linked).tolist():
+            a, b = find(int(group[x])), find(int(group[y]))
+            if a != b:
+                parent[a] = b
+                left -= 1
+                out.append((x, y))
+    return out
+
+
+def _met(size: int):
+    """(key, i, j, node, side, comp, text), unit after unit -> links (u, v) between groups."""
+
+    def solved(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+        texts = [r[3] for r in rows]
+        values, owners = [np.empty(0, U64)], [np.empty(0, np.int64)]
+        for a, b in pieces(texts):
+            value, owner = shingles(Words(texts[a:b], NOT_SPACE, FOLD), size)
+            values.append(value)
+            owners.append(owner + a)
+        comps, sides = np.array([r[2] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
+        links = joined(np.concatenate(values), np.concatenate(owners), comps, sides)
+        return pa.RecordBatch.from_arrays([pa.array([rows[k[e]][0] for k in links], pa.int64()) for e in (0, 1)], ["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows = None, []
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in range(6)]
+            for *unit, node, side, comp, text in zip(*columns, utf8(batch.column(6)), strict=True):
+                if unit != now:
+                    if rows:
+                        yield solved(rows)
+                    now, rows = unit, []
+                rows.append((node, side, comp, text))
+        if rows:
+            yield solved(rows)
+        tidy()
+
+    return run
+
+
+def _between(mixed: DataFrame, texts: DataFrame, size: int, nodes: int, most: int) -> DataFrame:
+    """Links (u, v) between groups inside the stars of `mixed`."""
+    blocked = written(_blocks(mixed, nodes, most), "blocked")
+    large = blocked.filter("blocks > 1")
+    if not large.isEmpty():
+        some = texts.join(large.select(F.explode(F.array("node", "leader")).alias("node")).distinct(), "node", "left_semi")
+        compared = _beside(large.select("node", "leader").distinct(), written(some, "near-texts")).mapInArrow(_compared(size, True), "node long, leader long, common long, lacks array<long>")
+        fewer = written(large.join(_narrowed(large, compared), ["key", "node"], "left_semi").drop("blocks"), "narrowed")
+        blocked = blocked.filter("blocks = 1").unionByName(_blocks(fewer, nodes, most).select(*blocked.columns))
+    met = _units(blocked).join(texts, "node").select("key", "i", "j", "node", "side", "comp", "text")
+    return met.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_met(size), "u long, v long")
+
+
+def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, block_nodes: int = BLOCK_NODES, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, near_node and near_group (of the component; null without words) of each row of `docs`."""
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     signed = written(rows.mapInArrow(_sign(shingle), "doc_id long, digest binary, n_shingles long, bands array<long>"), "signatures")
@@ -340,21 +432,12 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     # a bucket's leader; buckets of one leader are one star
     leader = members.join(weights, "node").groupBy("key").agg(F.max_by("node", "weight").alias("leader"))
     led = members.join(leader, "key").filter("node != leader").groupBy("leader", "node").agg(F.first("n").alias("n"))
-    led = written(led.join(weights, "node").withColumn("key", F.col("leader")), "led")
-    pairs, groups = led.select("node", "leader"), None
-    while True:
-        linked = _beside(pairs, texts).mapInArrow(_compared(shingle, False), "node long, leader long, linked boolean").filter("linked")
-        groups = _merged(groups, written(linked.select(F.col("node").alias("u"), F.col("leader").alias("v")), "links"))
-        mixed = written(_mixed(led, groups), "mixed")
-        if mixed.isEmpty():
-            break
-        # from here on only nodes of these stars count
-        texts = written(texts.join(mixed.select(F.explode(F.array("node", "leader")).alias("node")).distinct(), "node", "left_semi"), "near-texts")
-        compared = _beside(mixed.select("node", "leader").distinct(), texts).mapInArrow(_compared(shingle, True), "node long, leader long, common long, lacks array<long>")
-        stars = written(_smaller(mixed, compared), "stars")
-        if stars.isEmpty():
-            break
-        led, pairs = _led(stars)
+    led = written(led.withColumn("key", F.col("leader")), "led")
+    linked = _beside(led.select("node", "leader"), texts).mapInArrow(_compared(shingle, False), "node long, leader long, linked boolean").filter("linked")
+    groups = components(written(linked.select(F.col("node").alias("u"), F.col("leader").alias("v")), "links"))
+    mixed = written(_mixed(led, groups), "mixed")
+    if not mixed.isEmpty():
+        groups = _merged(groups, written(_between(mixed, texts, shingle, block_nodes, block_shingles), "links"))
 
     ids = nodes.join(groups, "node", "left").select("digest", "least_id", F.coalesce("comp", "node").alias("comp"))
     least = ids.groupBy("comp").agg(F.min("least_id").alias("component_id"))

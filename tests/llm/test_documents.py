@@ -92,6 +92,50 @@ def test_links_between_variants_are_not_lost(spark, tmp_path, seed):
     assert len(set(least)) > 3
 
 
+def test_stars_give_rise_to_no_others(spark, tmp_path, monkeypatch):
+    import random
+
+    # a family of many groups: shingles that only some have, none of which tells who is linked
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"v{rng.randrange(4)}-{k}" if rng.random() < 0.025 else f"w{k}" for k in range(150)), "en", "s") for i in range(150)]
+    fixture.documents(tmp_path, rows)
+    _, least = components(rows, four_words)
+    assert 3 < len(set(least)) < 150
+    names, written = Counter(), near.written
+
+    def counted(df, name, *more):
+        names[name] += 1
+        return written(df, name, *more)
+
+    monkeypatch.setattr(near, "written", counted)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for small in ({}, {"block_nodes": 20}, {"block_shingles": 1000}):
+        names.clear()
+        found = near.near_duplicates(docs, shingle=4, **small).collect()
+        assert {r["doc_id"]: r["component_id"] for r in found} == dict(zip(range(150), least, strict=True))
+        assert names["mixed"] == 1 and names["stars"] == 0
+
+
+@pytest.mark.parametrize("sides", [1, 2])
+def test_links_that_join_groups(sides):
+    rng = np.random.default_rng(sides)
+    sets = [set(((rng.random(40) < 0.06) + np.arange(40) * 2).tolist()) for _ in range(60)] + [set()]
+    groups, side = rng.integers(0, 50, 61), rng.integers(0, sides, 61)
+    values = np.array([v for x in sets for v in x], np.uint64)
+    owner = np.array([i for i, x in enumerate(sets) for _ in x], np.int64)
+
+    def merged(links):
+        of = groups.tolist()
+        for x, y in links:
+            of = [of[x] if g == of[y] else g for g in of]
+        return [of.index(g) for g in of]
+
+    every = [(x, y) for x in range(61) for y in range(x) if (sides == 1 or side[x] != side[y]) and sets[x] | sets[y] and 100 * len(sets[x] & sets[y]) >= 80 * len(sets[x] | sets[y])]
+    links = near.joined(values, owner, groups, side)
+    assert merged(links) == merged(every) and all((max(p), min(p)) in every for p in links)
+    assert 0 < len(links) < 50
+
+
 def thue_morse(n, one="a", two="b"):
     out = [one]
     while len(out) < n:
