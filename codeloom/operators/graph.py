@@ -13,10 +13,10 @@ EDGE_SOURCE = "heuristic-parser"
 
 
 def dependencies(files: DataFrame, edges: DataFrame) -> DataFrame:
-    """Edges with the paths of both ends; both must be among the files."""
+    """Edges with the paths of both ends; both must be among the files, which are never broadcast."""
     start = files.select(F.col("file_id").alias("from_file_id"), F.col("relative_path").alias("from_relative_path"))
     end = files.select(F.col("file_id").alias("to_file_id"), F.col("relative_path").alias("to_relative_path"))
-    return edges.join(start, "from_file_id").join(end, "to_file_id").select("from_file_id", "to_file_id", "from_relative_path", "to_relative_path", "raw_target", "confidence_score", "confidence_label", "evidence")
+    return edges.join(start.hint("merge"), "from_file_id").join(end.hint("merge"), "to_file_id").select("from_file_id", "to_file_id", "from_relative_path", "to_relative_path", "raw_target", "confidence_score", "confidence_label", "evidence")
 
 
 def neighbors(deps: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:

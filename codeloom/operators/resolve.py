@@ -35,12 +35,13 @@ def resolve_imports(files: DataFrame, imports: DataFrame) -> DataFrame:
     """files (file_id, relative_path, language), imports (file_id, raw_target, line) -> the imports_file table.
 
     Of several imports between two files the first by line counts (then by
-    target). A file can import itself.
+    target). A file can import itself. Files are never broadcast: they are as many
+    as the tree has, and wider than the sizes that the optimizer guesses.
     """
     active = files.select("file_id", text.path_key(F.col("relative_path")).alias("relative_path"), "language")
-    rows = imports.join(active.filter("language = 'rust'"), "file_id").select("file_id", "relative_path", "raw_target", "line", module_name(F.col("raw_target")).alias("module")).filter("module IS NOT NULL")
+    rows = imports.join(active.filter("language = 'rust'").hint("merge"), "file_id").select("file_id", "relative_path", "raw_target", "line", module_name(F.col("raw_target")).alias("module")).filter("module IS NOT NULL")
     tried = rows.select("file_id", "raw_target", "line", F.posexplode(candidates(F.col("relative_path"), F.col("module"))).alias("priority", "candidate"))
     targets = active.select(F.col("file_id").alias("to_file_id"), F.col("relative_path").alias("candidate"))
-    hit = tried.join(targets, "candidate").groupBy("file_id", "raw_target", "line").agg(F.min_by("to_file_id", "priority").alias("to_file_id"))
+    hit = tried.join(targets.hint("merge"), "candidate").groupBy("file_id", "raw_target", "line").agg(F.min_by("to_file_id", "priority").alias("to_file_id"))
     first = hit.groupBy(F.col("file_id").alias("from_file_id"), "to_file_id").agg(F.min_by("raw_target", F.struct("line", "raw_target")).alias("raw_target"))
     return first.select("from_file_id", "to_file_id", "raw_target", F.lit(CONFIDENCE).alias("confidence_score"), F.lit(LABEL).alias("confidence_label"), F.lit(EVIDENCE).alias("evidence"))

@@ -116,3 +116,12 @@ def test_a_cluster_needs_a_shared_folder():
         session = SimpleNamespace(conf=empty, sparkContext=SimpleNamespace(master=master, getConf=lambda: empty))
         with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
             shared_dir(session)
+
+
+def test_files_are_never_broadcast(spark):
+    # their guessed size is far below that of their ids and paths
+    from codeloom import entries
+
+    df = entries.queries()["dependencies"](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("SortMergeJoin") == 4
